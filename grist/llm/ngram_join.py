@@ -39,7 +39,7 @@ from .components import connected_components
 from .shared import written
 from .words import NOT_SPACE, U64, Words, shingle_sets, slices
 
-SLICE = 2_000_000  # bytes of text that are hashed at once
+SLICE = 500_000  # characters of text that are hashed at once
 TILE = 1024  # members of a posting list in one block
 CHUNK = 1 << 14  # frequency buckets in one row
 BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
@@ -61,7 +61,7 @@ def bucket_ranks(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
                 found = shingle_sets(Words(texts[a:b], NOT_SPACE), k)
                 at = np.concatenate([np.empty(0, dtype=U64), *found]) >> U64(64 - bits)
                 total += np.bincount(at.astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        parts = total.reshape(-1, min(CHUNK, 1 << bits))
+        parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, min(CHUNK, 1 << bits))
         for i in np.flatnonzero(parts.any(axis=1)).tolist():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([parts[i].tobytes()], pa.binary())})
 
@@ -69,7 +69,7 @@ def bucket_ranks(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype=np.uint32).astype(np.uint64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype=np.uint16).astype(np.uint64)
         for i, v in sums.items():
             rank = np.minimum(255, np.log2(v.astype(np.float64) + 1) * 6).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([rank.tobytes()], pa.binary())})
@@ -241,7 +241,7 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the smallest id that links lead to from it."""
     spark = docs.sparkSession
-    bits = min(26, max(12, math.ceil(math.log2(max(1, docs.count()) * 8))))
+    bits = min(26, max(12, math.ceil(math.log2(max(1, docs.count()) * 2))))
     ranks = spark.sparkContext.broadcast(bucket_ranks(docs.select(F.col(f"`{text}`").alias("text")), "text", k, bits))
     signed = written(signatures(docs, id, text, k, num, den, ranks, bits), "signed")
     ranks.unpersist()
@@ -250,30 +250,38 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     # groups of equal prefix and size; their members are classes
     small = classes.select("node", "n", "copies", "prefix").where("length(prefix) > 0")
-    groups = written(small.groupBy("n", "prefix").agg(F.min("node").alias("gid"), F.max_by("node", F.struct("copies", "node")).alias("lead"), F.sum("copies").alias("copies"), F.count("*").alias("members")), "groups")
+    groups = written(small.groupBy("n", "prefix").agg(F.max_by("node", F.struct("copies", "node")).alias("lead"), F.sum("copies").alias("copies"), F.count("*").alias("members")), "groups")
+    within = written(small.join(groups.where("members > 1").select("n", "prefix", "lead"), ["n", "prefix"]).where("node <> lead").select("node", "lead"), "within")
     token = F.expr("transform(sequence(0, cast(length(prefix) / 4 as int) - 1), i -> cast(conv(hex(substring(prefix, 4 * i + 1, 4)), 16, 10) as long))")
-    posted = groups.select(F.explode(token).alias("tok"), "gid", "lead", "n", "copies")
-    lists = written(posted.groupBy("tok").agg(F.count("*").alias("size"), F.max_by(F.struct("lead", "n"), F.struct("copies", "lead")).alias("leader")).where("size > 1"), "lists")
+    # the postings of lists with more than one group; most shingles of a prefix have one
+    several = written(groups.select(F.explode(token).alias("tok")).groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok"), "several")
+    posted = groups.select(F.explode(token).alias("tok"), "lead", "n", "copies")
+    posted = written(posted.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "tok", "left_semi"), "posted")
+    leaders = written(posted.groupBy("tok").agg(F.max_by(F.struct("lead", "n"), F.struct("copies", "lead")).alias("leader")), "leaders")
     fits = f"least(n, leader.n) * {den} >= greatest(n, leader.n) * {num}"
-    stars = posted.join(lists, "tok").where("lead <> leader.lead").where(fits).select(F.least("lead", "leader.lead").alias("a"), F.greatest("lead", "leader.lead").alias("b"))
-    # members of a group, each with the group's lead
-    within = small.join(groups.where("members > 1").select("n", "prefix", "lead"), ["n", "prefix"]).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    near = written(_near(stars.unionByName(within).distinct(), classes, num, den), "near")
+    stars = posted.join(leaders, "tok").where("lead <> leader.lead").where(fits).select(F.col("lead").alias("node"), F.col("leader.lead").alias("lead"))
+    stars = stars.unionByName(within).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    near = written(_near(stars, classes, num, den), "near")
     links = written(_verified(near, classes, docs, text, k, num, den), "links")
     parts = connected_components(links)
-    placed = written(classes.join(parts.select("node", "component"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
-
-    # what may still link lies in different components of one list: expand groups to their classes
-    spans = placed.where("length(prefix) > 0").select("node", "comp", F.explode(token).alias("tok"))
+    placed = written(classes.where("length(prefix) > 0").select("node", "n", "prefix", "bitmap").join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
+
+    # what may still link lies in different components of one list: groups are expanded to their classes
+    members = posted.select("tok", F.col("lead").alias("node")).unionByName(posted.select("tok", "lead").join(within, "lead").select("tok", "node"))
+    spans = written(members.join(placed.select("node", "comp"), "node"), "spans")
+    # a group of one list only may have members in several components
+    lone = within.join(groups.select("lead", "prefix"), "lead").select("node", "lead", F.expr("cast(conv(hex(substring(prefix, 1, 4)), 16, 10) as long)").alias("tok"))
+    lone = lone.select("tok", "node").unionByName(lone.select("tok", F.col("lead").alias("node"))).distinct().join(placed.select("node", "comp"), "node")
+    spans = spans.unionByName(lone.join(several, "tok", "left_anti"))
     open_lists = written(spans.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
-    entries = spans.join(open_lists, "tok").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    entries = spans.select("tok", "node").join(open_lists, "tok").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     entries = entries.select("tok", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     entries = entries.select("tok", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "node", "block")
     full = entries.join(placed.select("node", "n", "comp", "prefix", "bitmap"), "node").select("tok", "ti", "tj", "node", "n", "comp", "block", "prefix", "bitmap")
     rest = full.repartition("tok", "ti", "tj").sortWithinPartitions("tok", "ti", "tj").mapInArrow(_across(num, den), "a long, b long").distinct()
     more = written(_verified(written(rest, "rest"), classes, docs, text, k, num, den), "links")
     parts = connected_components(links.unionByName(more))
-    named = placed.drop("comp").join(parts, "node", "left").select("s1", "s2", "least_id", F.coalesce("component", "node").alias("comp"))
+    named = classes.join(parts, "node", "left").select("s1", "s2", "least_id", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     result = written(named.join(least, "comp").select("s1", "s2", "component_id"), "named")
     return signed.join(result, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
