@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import decontaminate, html_text, langid, ngram_join, sstable, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # whole texts go to Python workers in batches of this size
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs, learn=~held_out, keep=["doc_id", held_out.alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard,)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_shards, op4_language_id, op7_ngram_jaccard, op8_warc, op9_decontamination, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
