@@ -14,9 +14,9 @@ Each text is the set of its distinct word k-shingles.  Two texts link when
 4. Each posting list first offers pairs of every member with one leader;
    members that turn out to link are joined to components.
 5. Only pairs of different components remain in question.  Lists that still
-   span several components are compared in tiles of bounded size, a pair in
-   the list of its first common shingle only; survivors are verified on their
-   whole sets.  What is already connected needs no further pair, so a group of
+   span several components are compared in tiles of bounded size, by sizes and
+   by bitmaps folded to 32 bytes; survivors are held against their bitmaps and
+   verified on their whole sets.  What is already connected needs no further pair, so a group of
    many near copies costs a spanning set of links, not all pairs, and no link
    between components is lost.
 
@@ -29,6 +29,7 @@ component of null ids only has a null id.  Case folding is A-Z only.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ SLICE = 500_000  # characters of text that are hashed at once
 TILE = 1024  # members of a posting list in one block
 CHUNK = 1 << 14  # frequency buckets in one row
 BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
+SKETCH = 32  # bytes that a posting carries of its bitmap
 
 
 def _sets(texts: list[str | None], k: int):
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, num: int, den: int,
     def sign(batches):
         order = ranks.value
         for batch in batches:
-            out: dict[str, list] = {"n": [], "s1": [], "s2": [], "prefix": [], "bitmap": []}
+            out: dict[str, list] = {"n": [], "s1": [], "s2": [], "prefix": [], "bitmap": [], "sketch": []}
             for s in _sets(batch.column(1).to_pylist(), k):
                 n = len(s)
                 out["n"].append(n)
@@ -124,6 +126,7 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, num: int, den: int,
                 if n < least:
                     out["prefix"].append(b"")
                     out["bitmap"].append(b"")
+                    out["sketch"].append(b"")
                     continue
                 key = order[(s >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56) | s >> U64(8)
                 p = n - -(-num * n // den) + 1
@@ -131,9 +134,10 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, num: int, den: int,
                 first = first[np.argsort(key[first])]
                 out["prefix"].append((s[first] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
                 out["bitmap"].append(_bitmap(s))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "th": batch.column(2), "n": pa.array(out["n"], pa.int32()), "s1": pa.array(out["s1"], pa.int64()), "s2": pa.array(out["s2"], pa.int64()), "prefix": pa.array(out["prefix"], pa.binary()), "bitmap": pa.array(out["bitmap"], pa.binary())})
+                out["sketch"].append(_fold(np.frombuffer(out["bitmap"][-1], dtype=np.uint8), SKETCH).tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "th": batch.column(2), "n": pa.array(out["n"], pa.int32()), "s1": pa.array(out["s1"], pa.int64()), "s2": pa.array(out["s2"], pa.int64()), "prefix": pa.array(out["prefix"], pa.binary()), "bitmap": pa.array(out["bitmap"], pa.binary()), "sketch": pa.array(out["sketch"], pa.binary())})
 
-    return docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th")).mapInArrow(sign, "doc_id long, th long, n int, s1 long, s2 long, prefix binary, bitmap binary")
+    return docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th")).mapInArrow(sign, "doc_id long, th long, n int, s1 long, s2 long, prefix binary, bitmap binary, sketch binary")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,47 +188,34 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 def _across(num: int, den: int):
     """Pairs of different components within each tile of a posting list, streamed; rows come sorted by tile."""
 
-    def tile(members: list[tuple]) -> list[tuple[int, int]]:
-        out = []
+    def tile(members: list[tuple]) -> set[tuple[int, int]]:
+        out = set()
         members.sort(key=lambda m: m[4])
-        # fields: tok, ti, tj, node, n, comp, block, prefix, bitmap
-        sizes = np.array([m[4] for m in members])
-        comps = np.array([m[5] for m in members])
-        blocks = np.array([m[6] for m in members])
-        ti, tj, tok = members[0][1], members[0][2], members[0][0]
-        bits = [np.frombuffer(m[8], dtype=np.uint8) for m in members]
-        widths = np.array([len(x) for x in bits])
-        by_width = {w: np.stack([_fold(x, w) for x in bits if len(x) >= w]) for w in set(widths.tolist())}
-        first_of = {w: int(np.argmax(widths >= w)) for w in by_width}  # widths never fall, as sizes don't
-        for i, m in enumerate(members):
-            hi = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
-            if hi <= i + 1:
-                continue
-            w = int(widths[i])
-            at = np.arange(i + 1, hi)
+        # fields: tok, ti, tj, node, n, comp, block, sketch
+        split = members[0][1] != members[0][2]
+        nodes, sizes, comps, blocks = (np.array([m[i] for m in members]) for i in (3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(m[7] for m in members), dtype=np.uint64).reshape(len(members), -1)
+        ends = np.searchsorted(sizes, sizes * den // num, side="right")
+        for i in range(len(members) - 1):
+            at = slice(i + 1, int(ends[i]))
             ok = comps[at] != comps[i]
-            if ti != tj:
+            if split:
                 ok &= blocks[at] != blocks[i]
-            at = at[ok]
-            if not len(at):
+            if not ok.any():
                 continue
-            table = by_width[w]
-            apart = np.bitwise_count(table[at - first_of[w]] ^ table[i - first_of[w]]).sum(axis=1, dtype=np.int64)
-            at = at[apart * (den + num) <= (sizes[at] + sizes[i]) * (den - num)]
-            for j in at.tolist():
-                x, y = (m, members[j]) if m[3] < members[j][3] else (members[j], m)
-                other = set(np.frombuffer(y[7], dtype="<u4").tolist())
-                if next((t for t in np.frombuffer(x[7], dtype="<u4").tolist() if t in other), None) == tok:
-                    out.append((x[3], y[3]))
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            ok &= apart * (den + num) <= (sizes[at] + sizes[i]) * (den - num)
+            for j in nodes[at][ok].tolist():
+                out.add((min(j, int(nodes[i])), max(j, int(nodes[i]))))
         return out
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: set[tuple[int, int]] = set()
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[:3] != held[0][:3]:
-                    found += tile(held) if len(held) > 1 else []
+                    found |= tile(held) if len(held) > 1 else set()
                     held = []
                 held.append(row)
             yield _pair_batch(found)
@@ -234,7 +225,8 @@ def _across(num: int, den: int):
     return run
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pair_batch(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = list(pairs)
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
@@ -245,7 +237,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     ranks = spark.sparkContext.broadcast(bucket_ranks(docs.select(F.col(f"`{text}`").alias("text")), "text", k, bits))
     signed = written(signatures(docs, id, text, k, num, den, ranks, bits), "signed")
     ranks.unpersist()
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("th").alias("th"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"))
+    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("th").alias("th"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), F.any_value("sketch").alias("sketch"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # groups of equal prefix and size; their members are classes
@@ -264,22 +256,22 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     near = written(_near(stars, classes, num, den), "near")
     links = written(_verified(near, classes, docs, text, k, num, den), "links")
     parts = connected_components(links)
-    placed = written(classes.where("length(prefix) > 0").select("node", "n", "prefix", "bitmap").join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
+    placed = written(classes.where("length(prefix) > 0").select("node", "n", "sketch").join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
 
     # what may still link lies in different components of one list: groups are expanded to their classes
     members = posted.select("tok", F.col("lead").alias("node")).unionByName(posted.select("tok", "lead").join(within, "lead").select("tok", "node"))
-    spans = written(members.join(placed.select("node", "comp"), "node"), "spans")
+    spans = written(members.join(placed, "node"), "spans")
     # a group of one list only may have members in several components
     lone = within.join(groups.select("lead", "prefix"), "lead").select("node", "lead", F.expr("cast(conv(hex(substring(prefix, 1, 4)), 16, 10) as long)").alias("tok"))
-    lone = lone.select("tok", "node").unionByName(lone.select("tok", F.col("lead").alias("node"))).distinct().join(placed.select("node", "comp"), "node")
+    lone = lone.select("tok", "node").unionByName(lone.select("tok", F.col("lead").alias("node"))).distinct().join(placed, "node")
     spans = spans.unionByName(lone.join(several, "tok", "left_anti"))
     open_lists = written(spans.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
-    entries = spans.select("tok", "node").join(open_lists, "tok").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    entries = entries.select("tok", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    entries = entries.select("tok", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "node", "block")
-    full = entries.join(placed.select("node", "n", "comp", "prefix", "bitmap"), "node").select("tok", "ti", "tj", "node", "n", "comp", "block", "prefix", "bitmap")
-    rest = full.repartition("tok", "ti", "tj").sortWithinPartitions("tok", "ti", "tj").mapInArrow(_across(num, den), "a long, b long").distinct()
-    more = written(_verified(written(rest, "rest"), classes, docs, text, k, num, den), "links")
+    entries = spans.join(open_lists, "tok").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.select("tok", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "node", "n", "comp", "block", "sketch")
+    rest = entries.repartition("tok", "ti", "tj").sortWithinPartitions("tok", "ti", "tj").mapInArrow(_across(num, den), "a long, b long").distinct()
+    rest = written(_near(written(rest, "rest"), classes, num, den), "rest")
+    more = written(_verified(rest, classes, docs, text, k, num, den), "links")
     parts = connected_components(links.unionByName(more))
     named = classes.join(parts, "node", "left").select("s1", "s2", "least_id", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
