@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, ngram_join, sstable, warc
+from . import ann, chat, decontaminate, html_text, langid, mixture, ngram_join, sstable, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (action, host, path) of the url filter.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: No source is repeated more than this many times; no document is left out.
+REPEATS = 2.0
+BLOCK_TOKENS = 1 << 20
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.formatted_digests(rows.unionByName(more))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +42,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(_table(spark, sf_dir, "documents"), repeats=REPEATS, block_tokens=BLOCK_TOKENS)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -42,5 +69,47 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_shards, op4_language_id, op7_ngram_jaccard, op8_warc, op9_decontamination, op10_html_text)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_token_shards, op4_language_id, op5_nearest, op6_mixture, op7_ngram_jaccard, op8_warc, op9_decontamination, op10_html_text)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS after FROM u),
+p AS (SELECT page_id, url, html, host, regexp_extract(after, '^[^?#]*') AS path, host || regexp_extract(after, '^[^#]*') AS key FROM split),
+tags AS (SELECT key, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM p WHERE key <> ''),
+links AS (SELECT key AS a, regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]*)', 1) AS href FROM tags WHERE regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical["''\s>/]')),
+targets AS (SELECT a, substr(href, instr(href, '://') + 3) AS rest FROM links WHERE instr(href, '://') > 0),
+edges AS (SELECT DISTINCT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^#]*') AS b FROM targets),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a),
+rules(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+addresses AS (SELECT key, host, path FROM p UNION SELECT y, regexp_extract(y, '^[^/?#]*'), regexp_extract(substr(y, length(regexp_extract(y, '^[^/?#]*')) + 1), '^[^?#]*') FROM reach),
+fits AS (SELECT a.key, r.rhost || r.rpath AS rule, r.action, row_number() OVER (PARTITION BY a.key ORDER BY length(r.rhost || r.rpath) DESC, r.action, r.rhost || r.rpath DESC) AS n
+  FROM (SELECT DISTINCT key, host, path FROM addresses) a JOIN rules r ON (a.host = r.rhost OR ends_with(a.host, '.' || r.rhost)) AND starts_with(a.path, r.rpath)),
+alias AS (SELECT x AS key, CASE WHEN bool_or(f.action = 'allow') THEN 'allow' WHEN bool_or(f.action = 'block') THEN 'block' END AS verdict FROM reach LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON f.key = reach.y GROUP BY x)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, alias.verdict, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON f.key = p.key LEFT JOIN alias ON alias.key = p.key
+""",
+    "op6_mixture": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS n, count(*) AS docs FROM d GROUP BY source),
+shares AS (SELECT source, n, docs, n / greatest(sum(n) OVER (), 1)::DOUBLE AS p FROM s),
+ends AS (SELECT min(p) AS least, max(p) AS most FROM shares WHERE p > 0),
+bisect(i, lo, hi) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN kept THEN lo ELSE mid END, CASE WHEN kept THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(least, (lo + hi) / 2 - 1) <= {REPEATS} * pow(most, (lo + hi) / 2 - 1) AS kept FROM bisect, ends WHERE i < 48)),
+a AS (SELECT CASE WHEN pow(least, -1::DOUBLE) <= {REPEATS} * pow(most, -1::DOUBLE) THEN 0 ELSE (SELECT hi FROM bisect WHERE i = 48) END AS a FROM ends),
+powered AS (SELECT *, CASE WHEN p > 0 THEN pow(p, (SELECT a FROM a)) ELSE 0 END AS power FROM shares),
+plan AS (SELECT source, n, CASE WHEN n > 0 THEN ceil(round(power * (SELECT max(n / power) FROM powered WHERE p > 0), 6)) ELSE 0 END::BIGINT AS target FROM powered),
+epochs AS (SELECT *, CASE WHEN n > 0 THEN target // n ELSE 1 END AS epochs, CASE WHEN n > 0 THEN target % n ELSE 0 END AS rest FROM plan),
+placed AS (SELECT d.*, e.n, e.target, e.epochs, e.rest, ('0x' || substr(md5('1|rest|' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
+  FROM d JOIN epochs e ON d.source IS NOT DISTINCT FROM e.source),
+drawn AS (SELECT *, rest > 0 AND sum(n_tokens) OVER (PARTITION BY source ORDER BY u, doc_id) - n_tokens < rest AS extra FROM placed),
+copies AS (SELECT *, unnest(range(epochs + extra::INT)) AS epoch FROM drawn),
+own AS (SELECT *, CASE WHEN epoch = epochs THEN u ELSE ('0x' || substr(md5('1|' || epoch || '|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 END AS o FROM copies),
+size AS (SELECT greatest(1, ceil(sum(target) / {BLOCK_TOKENS})) AS blocks FROM plan)
+SELECT doc_id, source, n_tokens, epoch::INT AS epoch, least(floor(CASE WHEN target > 0 THEN (epoch + o) * n / target ELSE o END * blocks), blocks - 1)::BIGINT AS block FROM own, size
+""",
+}
