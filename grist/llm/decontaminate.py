@@ -59,7 +59,7 @@ def index_shards(docs: DataFrame, id: str, text: str, windows) -> DataFrame:
         vocabulary = windows.value.vocabulary
         task, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in slices([len(t or "") for t in texts], SHARD):
                 terms, places, counts, doc = [], [], [], 0
                 for a, b in slices([len(t or "") for t in texts[lo:hi]], SLICE):
@@ -80,14 +80,15 @@ def index_shards(docs: DataFrame, id: str, text: str, windows) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([shard]),
                     "ids": pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                    "hashes": pa.array([hashes.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                     "words": pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
                     "terms": pa.array([terms[cut]], pa.list_(pa.int64())),
                     "sizes": pa.array([np.diff(cut, append=len(terms)) if len(cut) else []], pa.list_(pa.int64())),
                     "postings": pa.array([lists], pa.list_(pa.binary())),
                 })
 
-    rows = docs.select(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`"))
-    return rows.mapInArrow(build, "shard string, ids array<long>, words array<long>, terms array<long>, sizes array<long>, postings array<binary>")
+    rows = docs.select(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`")))
+    return rows.mapInArrow(build, "shard string, ids array<long>, hashes array<long>, words array<long>, terms array<long>, sizes array<long>, postings array<binary>")
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -139,7 +140,7 @@ def near(lists: dict[int, np.ndarray], terms: list[int], rank: dict[int, int], s
 
 
 def matches(index: DataFrame, windows, span: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, hits (starts and lengths of exact matches), items; with ``span`` also near_items."""
+    """Per document: doc_id, text_hash, n_words, n_hit, starts (of exact matches), items; with ``span`` also near_items."""
     spark = index.sparkSession
     counts = {r.terms: r.total for r in index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x")).groupBy("x.terms").agg(F.sum("x.sizes").alias("total")).toLocalIterator()}  # bounded by the items' vocabulary
     rank = spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(counts, key=lambda t: (counts[t], t)))})
@@ -154,7 +155,7 @@ def matches(index: DataFrame, windows, span: int | None = None) -> DataFrame:
             rarest[min(phrases[i], key=lambda t: ranks[t])].append(i)
         needed = {t for i in usable for t in phrases[i]}
 
-        def finish(lists: dict[int, np.ndarray], ids: list, words: list) -> pa.RecordBatch:
+        def finish(lists: dict[int, np.ndarray], ids: list, hashes: list, words: list) -> pa.RecordBatch:
             hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
             items: dict[int, set] = defaultdict(set)
             close: dict[int, set] = defaultdict(set)
@@ -169,6 +170,7 @@ def matches(index: DataFrame, windows, span: int | None = None) -> DataFrame:
             n = range(len(ids))
             return pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()),
+                "text_hash": pa.array(hashes, pa.int64()),
                 "n_words": pa.array(words, pa.int64()),
                 "n_hit": pa.array([covered(hits[d]) if d in hits else 0 for d in n], pa.int64()),
                 "starts": pa.array([sorted(s for s, _ in set(hits[d])) if d in hits else [] for d in n], pa.list_(pa.int64())),
@@ -178,10 +180,10 @@ def matches(index: DataFrame, windows, span: int | None = None) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, words, terms, postings = (batch.column(k)[i].as_py() for k in range(4))
-                yield finish({t: unpack(raw) for t, raw in zip(terms, postings) if t in needed}, ids, words)
+                ids, hashes, words, terms, postings = (batch.column(k)[i].as_py() for k in range(5))
+                yield finish({t: unpack(raw) for t, raw in zip(terms, postings) if t in needed}, ids, hashes, words)
 
-    return index.select("ids", "words", "terms", "postings").mapInArrow(search, "doc_id long, n_words long, n_hit long, starts array<long>, items array<string>, near_items array<string>")
+    return index.select("ids", "hashes", "words", "terms", "postings").mapInArrow(search, "doc_id long, text_hash long, n_words long, n_hit long, starts array<long>, items array<string>, near_items array<string>")
 
 
 def covered(hits: list[tuple[int, int]]) -> int:
@@ -194,7 +196,8 @@ def covered(hits: list[tuple[int, int]]) -> int:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, most_items_mb: int = 256, span: int | None = None) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, starts, items, near_items.
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash (Spark's
+    xxhash64), starts, items, near_items.
 
     The test items are sent to every task; more than ``most_items_mb`` of text is refused, to be run in parts.
     """
@@ -207,4 +210,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     index = written(index_shards(docs, id, text, windows), "index")
     found = matches(index, windows, span)
     joined = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "starts", "items", "near_items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash", "starts", "items", "near_items")

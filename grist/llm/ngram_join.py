@@ -231,7 +231,7 @@ def _pair_batch(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: the smallest id that links lead to from it."""
+    """(doc_id, n_shingles, component_id, text_hash) per row: the smallest id that links lead to from it, and Spark's xxhash64 of its text."""
     spark = docs.sparkSession
     bits = min(26, max(12, math.ceil(math.log2(max(1, docs.count()) * 2))))
     ranks = spark.sparkContext.broadcast(bucket_ranks(docs.select(F.col(f"`{text}`").alias("text")), "text", k, bits))
@@ -276,4 +276,4 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     named = classes.join(parts, "node", "left").select("s1", "s2", "least_id", F.coalesce("component", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     result = written(named.join(least, "comp").select("s1", "s2", "component_id"), "named")
-    return signed.join(result, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return signed.join(result, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("th").alias("text_hash"))

@@ -52,7 +52,8 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
