@@ -3,11 +3,13 @@
 A byte-level BPE never merges across the last space of a white-space run, so a
 text may be cut before every space that a non-space follows and its pieces
 encoded alone.  Words repeat, hence a bounded cache of pieces does most of the
-work.  ``tests/llm`` holds the result against whole-text encoding.
+work.  A new piece of Latin characters is cut into pre-tokens here, which are
+cached too, and only new pre-tokens go to the library's model; any other piece,
+and any that holds a special token's string, goes through the whole library.
+``tests/llm`` holds the result against whole-text encoding.
 """
 
-from __future__ import annotations
-
+import json
 import os
 import re
 from array import array
@@ -15,7 +17,18 @@ from itertools import chain
 
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?!\S)")
-CACHED = 400_000  # pieces
+# The pre-token pattern of byte-level BPE, on Latin text.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTER}]*")
+_PRETOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+CACHED = 400_000  # pieces, and as many pre-tokens
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,16 +51,41 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if plain:
             self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.by_byte = spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
+        self.special = [] if plain else [t["content"] for t in spec.get("added_tokens", [])]
+        self.letters = _byte_letters()
         self.heads: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], new: list[str], before: str) -> None:
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)):
+        hard = []
+        known, model, letters = self.pretokens, self.tokenizer.model, self.letters
+        if len(known) > CACHED:
+            known.clear()
+        for piece in new:
+            text = before + piece
+            if not _LATIN.fullmatch(piece) or any(s in text for s in self.special):
+                hard.append(piece)
+                continue
+            parts = (text,) if before and piece.isalpha() else _PRETOKEN.findall(text)
+            out = b""
+            for part in parts:
+                if (ids := known.get(part)) is None:
+                    shown = part.encode().decode("latin-1").translate(letters)
+                    ids = known[part] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+                out += ids
+            cache[piece] = out
+        for i in range(0, len(hard), 5000):
+            some = hard[i : i + 5000]
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)):
                 cache[piece] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_byte:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in (t or "" for t in texts)]
         heads = {p[0] for p in cut}.difference(self.heads)
         rest = set(chain.from_iterable(p[1:] for p in cut)).difference(self.rest)
