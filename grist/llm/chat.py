@@ -30,7 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tokens import PieceEncoder, tokenizer_path
+from .tokens import encoder as shared_encoder
+from .tokens import tokenizer_path
 from .words import slices
 
 # Control strings in the order of their reserved ids.
@@ -55,7 +56,7 @@ class Codec:
     """Turns to ids and mask, and back."""
 
     def __init__(self, path: str):
-        self.encoder = PieceEncoder(path, plain=True)
+        self.encoder = shared_encoder(path, plain=True)
         self.base = self.encoder.tokenizer.get_vocab_size()
 
     def turns(self, turns: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import filesystem, new_folder, written
-from .tokens import PieceEncoder, tokenizer_path
+from .tokens import encoder as shared_encoder
+from .tokens import tokenizer_path
 from .words import slices
 
 MAGIC = b"GRSST01\n"
@@ -209,7 +210,7 @@ def write_shards(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = PieceEncoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 fs, name = filesystem(folder)
                 fs.create_dir(name, recursive=True)
                 path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"

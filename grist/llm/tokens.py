@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 _CUT = re.compile(r" (?=\S)")
@@ -21,7 +22,7 @@ _RUN = re.compile(r" (?!\S)")
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _LATIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTER}]*")
 _PRETOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
-CACHED = 400_000  # pieces, and as many pre-tokens
+CACHED = 600_000  # pieces, and as many pre-tokens
 
 
 def _byte_letters() -> dict[int, str]:
@@ -97,3 +98,9 @@ class PieceEncoder:
         self._learn(self.rest, list(rest), " ")
         get = self.rest.__getitem__
         return [self.heads[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
+    """The process's encoder for a tokenizer: its cache outlives a task where workers are reused."""
+    return PieceEncoder(path, plain)
