@@ -46,6 +46,8 @@ BOILERPLATE_NAMES = re.compile(
     re.I,
 )
 CONTENT_TAGS = frozenset(["article", "main"])
+ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments reply promo sponsored teaser related recommended".split())  # whole names that make an article none
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 SHORT_WORDS = 10  # a block of fewer words is ambiguous
 STOP_DENSITY = 0.12  # of a running text at least
@@ -63,20 +65,24 @@ WORD = re.compile(r"\w+")
 class Block:
     """Text between block-level tags, where it stands and how it is labelled."""
 
-    __slots__ = ("text", "linked", "hinted", "article", "label")
+    __slots__ = ("text", "linked", "hinted", "article", "heading", "label")
 
-    def __init__(self, text: str, linked: int, hinted: bool, article: int):
-        self.text, self.linked, self.hinted, self.article = text, linked, hinted, article
+    def __init__(self, text: str, linked: int, hinted: bool, article: int, heading: bool):
+        self.text, self.linked, self.hinted, self.article, self.heading = text, linked, hinted, article, heading
         self.label: bool | None = None
 
 
 def _hint(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILERPLATE_TAGS or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if tag == "article":
+            if name in ("class", "id") and not ARTICLE_NAMES.isdisjoint(value.lower().split()):
+                return True
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
         if name in ("class", "id") and BOILERPLATE_NAMES.search(value) or name == "role" and value.lower() in BOILERPLATE_ROLES:
@@ -95,8 +101,8 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            _, hinted, article = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, linked, hinted, article))
+            tag, hinted, article = stack[-1] if stack else ("", False, 0)
+            out.append(Block(text, linked, hinted, article, tag in HEADING_TAGS))
         parts.clear()
         linked = 0
 
@@ -135,10 +141,11 @@ def blocks_of(html: str) -> list[Block]:
                 if tag == "body" and stack and stack[-1][0] == "head":
                     stack.pop()
                 _, hinted, article = stack[-1] if stack else ("", False, 0)
+                hinted = hinted or _hint(tag, m["attrs"], article > 0)
                 if tag in CONTENT_TAGS and not article and not hinted:
                     articles += 1
                     article = articles
-                stack.append((tag, hinted or _hint(tag, m["attrs"], article > 0), article))
+                stack.append((tag, hinted, article))
     if at < len(html):
         add(html[at:])
     flush()
@@ -165,7 +172,9 @@ def classify(blocks: list[Block]) -> None:
         if b.label is not None:
             continue
         near = [x for x in (before[i], after[i]) if x]
-        if b.article:
+        if b.heading and after[i]:  # a heading goes with what it heads
+            b.label = after[i][1]
+        elif b.article:
             b.label = min(near, key=lambda x: (abs(x[0] - i), not x[1]))[1] if near else True
         else:
             b.label = bool(near) and not marked and min(near, key=lambda x: (abs(x[0] - i), x[1]))[1]
@@ -175,13 +184,13 @@ def classify(blocks: list[Block]) -> None:
 
 
 def _nearest(blocks: list[Block], decided: list[bool | None], step: int) -> list[tuple[int, bool] | None]:
-    """For each block the nearest decided one on one side: of its own article, where it stands in one."""
+    """For each block the nearest decided one on one side, of its own article where it stands in one; containers that don't count as text decide nothing."""
     out: list[tuple[int, bool] | None] = [None] * len(blocks)
     last: dict[int, tuple[int, bool]] = {}
     for i in range(len(blocks))[::step]:
         b = blocks[i]
         out[i] = last.get(b.article)
-        if decided[i] is not None and not (b.article and b.hinted):
+        if decided[i] is not None and not b.hinted:
             last[b.article] = (i, bool(decided[i]))
     return out
 
