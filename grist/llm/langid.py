@@ -90,7 +90,7 @@ class Chain:
         e = np.ones((c * CHUNK, k))
         e[:n] = np.exp(emission - emission.max(axis=1, keepdims=True))
         reset = np.zeros(c * CHUNK, dtype=bool)
-        reset[starts] = True
+        reset[starts] = reset[n:] = True  # what fills the last block is cut off
         self.reset = reset[:n]
         a, first = np.exp(transition - transition.max()), np.exp(initial - initial.max())
         e, r = np.ascontiguousarray(e.reshape(c, CHUNK, k).swapaxes(0, 1)), reset.reshape(c, CHUNK).T

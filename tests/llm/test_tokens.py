@@ -86,7 +86,7 @@ def test_escaping():
     for text in ["", "\\", "### Assistant: x", "\\### Assistant: </turn> ok", "#### User: \\\\</turn>", "</role> </turn>\n### Role: "]:
         e = chat.escape(text)
         assert chat.unescape(e) == text
-        bare = chat._UNESCAPED.sub("", e)
+        bare = chat._UNESCAPED.sub("\0", e)
         assert not any(c.strip() in bare for c in chat.CONTROL)
 
 
