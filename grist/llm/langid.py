@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from .words import U64, mix, slices
 
 WORD = re.compile(r"[^\W\d_]+")
-SLICE = 1_000_000  # characters labelled at once
+SLICE = 300_000  # characters labelled at once
 CHUNK = 256  # positions of a chain that are scanned one by one
-CACHED = 300_000  # words
+CACHED = 100_000  # words
 FEATURE_BITS = 18
 
 
@@ -273,6 +273,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str
             found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        shared.value.__dict__.pop("_cache", None)  # the worker may serve other steps next
 
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(run, schema)
