@@ -114,14 +114,18 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", tokens: Col
     keep = [id, source] if keep is None else keep
     n_tokens = tokens if tokens is not None else words(F.col("text"))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("mix source"), F.col(f"`{id}`").cast("long").alias("mix id"), n_tokens.alias("n_tokens"))
-    slim = rows.select(F.col("mix source").alias("source"), F.col("mix id").alias("id"), "n_tokens")
-    sizes = written(slim.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")), "sizes")
+    slim = written(rows.select("mix source", "mix id", "n_tokens"), "slim")  # texts are read once for their counts
+    if set(keep) <= {id, source}:
+        rows = slim.select(*[F.col("mix id" if c == id else "mix source").alias(c) for c in keep], "mix source", "mix id", "n_tokens")
+    sizes = written(slim.select(F.col("mix source").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")), "sizes")
     plan = targets(sizes, entropy, repeats, budget)
     plan = plan.withColumn("epochs", F.when(F.col("n") > 0, F.floor(F.col("target") / F.greatest("n", F.lit(1)))).otherwise(1).cast("int")).withColumn("rest", F.when(F.col("n") > 0, F.col("target") - F.col("epochs") * F.col("n")).otherwise(0))
     plan = written(plan.select(F.col("source").alias("plan source"), "n", "docs", "target", "epochs", "rest", F.ceil(F.col("docs") / BUCKET).cast("long").alias("buckets")), "plan")
 
-    joined = rows.join(plan, F.col("mix source").eqNullSafe(F.col("plan source"))).withColumn("u", uniform(seed, F.lit("rest"), F.col("mix id")))
-    joined = joined.withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))).withColumn("group", F.floor(F.col("bucket") / BUCKET))
+    def planned(df: DataFrame) -> DataFrame:
+        return df.join(plan, F.col("mix source").eqNullSafe(F.col("plan source"))).withColumn("u", uniform(seed, F.lit("rest"), F.col("mix id")))
+
+    joined = planned(slim).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))).withColumn("group", F.floor(F.col("bucket") / BUCKET))
     # where each bucket of the last permutation begins: sums within groups of buckets, then of groups
     sums = written(joined.groupBy(F.col("mix source").alias("s"), F.col("group").alias("g"), F.col("bucket").alias("b")).agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest")), "buckets")
     groups = sums.groupBy("s", "g").agg(F.sum("t").alias("t"))
@@ -137,7 +141,7 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", tokens: Col
     bound = written(plan.join(last, F.col("plan source").eqNullSafe(F.col("es")), "left").select(F.col("plan source").alias("bound source"), F.col("last_u")), "bound")
 
     # a row per copy, placed by its share of the source's stream
-    out = joined.join(bound, F.col("mix source").eqNullSafe(F.col("bound source")), "left")
+    out = planned(rows).join(bound, F.col("mix source").eqNullSafe(F.col("bound source")), "left")
     extra = (F.col("rest") > 0) & (F.col("u") <= F.coalesce(F.col("last_u"), F.lit(-1.0)))
     copies = F.col("epochs") + F.when(extra, 1).otherwise(0)
     total = plan.agg(F.sum(F.greatest("target", F.lit(0)))).first()[0] or 0
