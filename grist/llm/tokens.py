@@ -22,7 +22,7 @@ _RUN = re.compile(r" (?!\S)")
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _LATIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTER}]*")
 _PRETOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
-CACHED = 600_000  # pieces, and as many pre-tokens
+CACHED = 400_000  # pieces, and half as many pre-tokens: about 130 MB
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,7 +64,7 @@ class PieceEncoder:
     def _learn(self, cache: dict[str, bytes], new: list[str], before: str) -> None:
         hard = []
         known, model, letters = self.pretokens, self.tokenizer.model, self.letters
-        if len(known) > CACHED:
+        if len(known) > CACHED // 2:
             known.clear()
         for piece in new:
             text = before + piece
