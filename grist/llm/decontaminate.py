@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import forget, written
+from .shared import release, written
 from .words import ALNUM, U64, Words, slices
 
 SLICE = 2_000_000  # bytes of text hashed at once
@@ -56,6 +56,7 @@ def index_shards(docs: DataFrame, id: str, text: str, windows) -> DataFrame:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         vocabulary = windows.value.vocabulary
         task, serial = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import release
 from .words import U64, mix, slices
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -269,6 +270,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str
     kept = df.select(*keep, F.col(f"`{text}`").alias("text to label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

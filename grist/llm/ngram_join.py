@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import release, written
 from .words import NOT_SPACE, U64, Words, shingle_sets, slices
 
 SLICE = 500_000  # characters of text that are hashed at once
@@ -56,6 +56,7 @@ def bucket_ranks(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
     """Frequency rank (logarithmic, one byte) of each of 2**bits shingle buckets, counted over all texts."""
 
     def count(batches):
+        release()
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -114,6 +115,7 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, num: int, den: int,
     least = _least_partner(num, den)
 
     def sign(batches):
+        release()
         order = ranks.value
         for batch in batches:
             out: dict[str, list] = {"n": [], "s1": [], "s2": [], "prefix": [], "bitmap": [], "sketch": []}

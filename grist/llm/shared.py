@@ -56,3 +56,28 @@ def filesystem(path: str):
 def only(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The named columns alone, so that further or clashing columns of the caller don't matter."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker process's one large object: kept from task to task, freed as soon as another is asked for."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what ``held`` keeps and gives the memory back to the system where the C library can."""
+    import ctypes
+    import gc
+
+    if _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass

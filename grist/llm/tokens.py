@@ -13,9 +13,10 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 from itertools import chain
 
+from .shared import held
+
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?!\S)")
 # The pre-token pattern of byte-level BPE, on Latin text.
@@ -100,7 +101,6 @@ class PieceEncoder:
         return [self.heads[p[0]] + b"".join(map(get, p[1:])) for p in cut]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The process's encoder for a tokenizer: its cache outlives a task where workers are reused."""
-    return PieceEncoder(path, plain)
+    return held(("tokens", path, plain), lambda: PieceEncoder(path, plain))
