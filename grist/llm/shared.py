@@ -1,8 +1,9 @@
 """Shared storage and file access for the operators of this subpackage.
 
 Intermediate tables and output files go to a fresh folder under
-``spark.checkpoint.dir``, which every executor and the driver can reach.  Where
-the session has no such setting (tests, a laptop) /tmp/checkpoints is used.
+``spark.checkpoint.dir``, which every executor and the driver can reach.  Without
+that setting only a session on one machine has a folder (/tmp/checkpoints); on a
+cluster it is an error.
 Nothing here keeps state in executors: a lost executor costs a re-read.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -29,17 +32,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage, and is shared by later steps."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
-        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            if name.startswith(shared_root(spark).replace("file://", "").replace("file:", "")) or shared_root(spark).split(":", 1)[-1].lstrip("/") in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder := getattr(table, "_folder", None):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def filesystem(path: str):
