@@ -160,27 +160,30 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, num: int, den: int,
     return rows.mapInArrow(sign, SIGNED)
 
 
-def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal values in the first ``keys`` columns, across batches."""
-    held: list[pa.RecordBatch] = []
+def _whole_tiles(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows and the places where tiles (runs of equal values in the first ``keys`` columns) begin, no tile cut in two."""
+    carry: list[pa.RecordBatch] = []
+
+    def begins(table: pa.Table) -> np.ndarray:
+        change = np.ones(table.num_rows, dtype=bool)
+        change[1:] = False
+        for i in range(keys):
+            column = table.column(i).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(change)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
-            yield pa.Table.from_batches(held)
-            held = []
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for i in range(keys):
-            column = batch.column(i).to_numpy(zero_copy_only=False)
-            change[1:] |= column[1:] != column[:-1]
-        begin = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(begin[:-1], begin[1:]):
-            if held and a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        carry.append(batch)
+        if all(carry[0].column(i)[0].as_py() == batch.column(i)[-1].as_py() for i in range(keys)):
+            continue
+        table = pa.Table.from_batches(carry)
+        begin = begins(table)
+        yield table.slice(0, begin[-1]), begin[:-1]
+        carry = table.slice(begin[-1]).combine_chunks().to_batches()
+    if carry:
+        yield (table := pa.Table.from_batches(carry)), begins(table)
 
 
 def _pairs(n: np.ndarray, comp: np.ndarray, num: int, den: int, rest: np.ndarray | None = None, half: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,6 +240,41 @@ def _partnered(n: np.ndarray, comp: np.ndarray, bitmaps: list[bytes], num: int,
     return marked
 
 
+FEW = 16  # members of a tile that is filtered together with others
+
+
+def _partnered_few(begin: np.ndarray, size: np.ndarray, n: np.ndarray, comp: np.ndarray, bitmaps: list[bytes], num: int, den: int, rest: np.ndarray, half: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """``_partnered`` for all tiles of at most FEW members at once: their first members are held against the second, and so on."""
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    of = np.repeat(few, size[few])
+    marked = np.zeros(len(n), dtype=bool)
+    if not len(of):
+        return marked
+    rows = np.repeat(begin[few] - np.cumsum(size[few]) + size[few], size[few]) + np.arange(len(of))
+    left = begin[of] + size[of] - rows
+    length = np.array([len(bitmaps[i]) for i in rows.tolist()])
+    place = np.zeros(len(n), dtype=np.int64)
+    place[rows] = np.arange(len(rows))
+    short = length.min()
+    folded = np.stack([_fold(np.frombuffer(bitmaps[i], dtype=np.uint8), short) for i in rows.tolist()]).view(np.uint64)
+    full = np.zeros((len(rows), length.max()), dtype=np.uint8)
+    for at, i in enumerate(rows.tolist()):
+        full[at, : length[at]] = np.frombuffer(bitmaps[i], dtype=np.uint8)
+    full = full.view(np.uint64)
+    for step in range(1, int(size[few].max())):
+        i = rows[left > step]
+        j = i + step
+        ok = (n[j] * num <= n[i] * den) & (comp[i] != comp[j]) & ((split[i] == 0) | (half[i] != half[j])) & ~(marked[i] & marked[j])
+        ok &= np.minimum(rest[i], rest[j]) * (num + den) >= (n[i] + n[j]) * num
+        i, j = i[ok], j[ok]
+        near = _close(folded[place[i]], folded[place[j]], n[i] + n[j], num, den)
+        i, j = i[near], j[near]
+        even = length[place[i]] == length[place[j]]
+        near = ~even | _close(full[place[i]], full[place[j]], n[i] + n[j], num, den)
+        marked[i[near]] = marked[j[near]] = True
+    return marked
+
+
 def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(x).to_numpy().astype(np.int64) for x in names]
 
@@ -244,25 +282,30 @@ def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
 def _filter_tiles(num: int, den: int, keys: int):
     """Per tile the members that still have a partner, ascending; rows come sorted by the keys and n."""
 
-    def rows(out: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"members": _lists(out, pa.int64())})
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
-        for tile in _groups(batches, keys):
-            if tile.num_rows > 1:
-                n, comp, node = _numbers(tile, "n", "comp", "node")
+        for table, begin in _whole_tiles(batches, keys):
+            size = np.diff(begin, append=table.num_rows)
+            n, comp, node = _numbers(table, "n", "comp", "node")
+            bitmaps = table.column("bitmap").to_pylist()
+            marked, most, more = np.zeros(len(n), dtype=bool), 1, None
+            if "rest" in table.column_names:
+                most, more = FEW, _numbers(table, "rest", "half", "split")
+                marked = _partnered_few(begin, size, n, comp, bitmaps, num, den, *more)
+            for t in np.flatnonzero(size > most).tolist():
+                at = slice(int(begin[t]), int(begin[t] + size[t]))
                 rest = half = None
-                if "rest" in tile.column_names:
-                    rest, half, split = _numbers(tile, "rest", "half", "split")
-                    half = half if split[0] else None
-                marked = _partnered(n, comp, tile.column("bitmap").to_pylist(), num, den, rest, half)
-                if marked.any():
-                    out.append(np.unique(node[marked]))
-            if len(out) >= 1000:
-                yield rows(out)
-                out = []
-        yield rows(out)
+                if more:
+                    rest, half = more[0][at], more[1][at] if more[2][at][0] else None
+                marked[at] = _partnered(n[at], comp[at], bitmaps[at], num, den, rest, half)
+            at = np.flatnonzero(marked)
+            if len(at):
+                tile, found = np.searchsorted(begin, at, side="right"), node[at]
+                order = np.lexsort((found, tile))
+                tile, found = tile[order], found[order]
+                new = np.ones(len(found), dtype=bool)
+                new[1:] = (tile[1:] != tile[:-1]) | (found[1:] != found[:-1])
+                tile, found = tile[new], found[new]
+                yield pa.RecordBatch.from_pydict({"members": _lists(np.split(found, np.flatnonzero(np.diff(tile)) + 1), pa.int64())})
 
     return run
 
