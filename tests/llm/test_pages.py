@@ -1,6 +1,10 @@
 import base64
 import hashlib
+import html
 import io
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -64,6 +68,64 @@ def test_rules_without_marks():
     assert [b.label for b in blocks if b.text in (run, "So.")] == [True] * 3 and not any(b.label for b in blocks if b.text in ("x",) or b.text.startswith(("Home", "Qwe")))
 
 
+def test_articles_are_found_first():
+    words = "the words of this text are what they were and that is all there is"
+    for around in ("layout has-sidebar", "no-sidebar wide", "sidebar", "page sidebar-right", "with-ads"):
+        assert html_text.main_text(f'<div class="{around}"><article><p>{words}</p></article></div>') == words, around
+    aside = '<div class="related"><article><p>More that is of the same and that you are to read</p></article></div>'
+    assert html_text.main_text(f'<div class="layout">{aside}<article><p>{words}</p></article></div>') == words
+    assert html_text.main_text(f'<main><p>{words}</p><p>{words}</p><article class="card"><p>See this.</p></article></main>') == f"{words} {words} See this."
+    assert html_text.main_text(f"<main><p>Teaser.</p><article><p>{words}</p></article></main>") == words
+    assert html_text.main_text('<article><p class="social-history">Short life.</p><p><a href=1>All of this is one link</a></p></article>') == "Short life. All of this is one link"
+    menu = "<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>"
+    assert html_text.main_text(f"<article>{menu}<p>{words}<ul><li><a>Source</a></ul></article>") == f"{words} Source"
+    assert html_text.main_text("<p>Hello world.</p>") == "Hello world." and html_text.main_text("<p>...</p>") == ""
+
+
+@pytest.mark.parametrize(
+    "sentence",
+    [
+        "Это обычный длинный абзац без всяких ссылок и без каких либо особых слов в нём совсем", "这是一个没有标记文章的中文段落它由很多汉字组成但是中间没有空格所以只能按字数计算长度", "これは印のない文章の段落で長い日本語の文がひとつだけ入っています",
+        "이것은 표시가 없는 글의 긴 문단이며 여러 낱말로 이루어져 있고 링크는 하나도 없습니다", "นี่คือย่อหน้ายาวของข้อความภาษาไทยที่ไม่มีช่องว่างระหว่างคำและไม่มีลิงก์", "Αυτή είναι μια μεγάλη παράγραφος χωρίς συνδέσμους και χωρίς ιδιαίτερες λέξεις μέσα της",
+        "To jest zwykły długi akapit bez odnośników oraz bez słów które ktoś mógłby uznać za szczególne",
+    ],
+)
+def test_scripts(sentence):
+    assert html_text.main_text(f"<nav><a>x</a></nav><div class=menu>{sentence}</div><p>{sentence}.</p><p>{sentence}!</p><footer>{sentence}</footer>") == f"{sentence}. {sentence}!"
+
+
+def test_generated_pages():
+    """Pages put together of known parts: what belongs to the article comes out whole, in order, and nothing else."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["the", "of", "and", "is", "casa", "Haus", "über", "gr&uuml;n", "a&amp;b", "x &lt; y", "tïme", "Слово", "数"])
+    plain = lambda t: " ".join(html.unescape(t).split())
+    for _ in range(300):
+        out, article = [], []
+        names = ["ad", "ad-box", "sidebar", "sidebar-left", "comments", "comment-list", "cookie-banner", "newsletter", "share-buttons", "relatedPosts", "site-header"]
+        run = lambda n: " ".join(word() for _ in range(n))
+        for _ in range(rng.randrange(1, 12)):
+            n = rng.choice([1, 3, 12, 60])
+            kind = rng.choice(["p", "h2", "div", "blockquote", "pre", "li", "noise", "noise"])
+            if kind == "noise":
+                name = rng.choice(names)
+                out.append(rng.choice([f'<div class="x {name}"><p>{run(n)}</p></div>', f"<nav><ul><li><a href=1>{run(n)}</a></ul></nav>", f"<script>{run(n)}<p></script>", f"<form>{run(n)}</form>", f"<!-- {run(n)} -->", f"<aside><p>{run(n)}</aside>", f'<div id="{name}">{run(n)}</div>']))
+            else:
+                text = run(n)
+                inner = text if rng.random() < 0.5 else text.replace(" ", rng.choice([" ", "\n\t ", "&nbsp;", " <b></b>"]), 2)
+                out.append(f"<{kind} class='{rng.choice(['', 'lead', 'has-ads', 'social-history'])}'>{inner}</{kind}>")
+                article.append(plain(re.sub("<[^>]*>", "", inner)))
+        around = rng.choice(["layout", "has-sidebar", "page", "main"])
+        page = f"<html><head><title>{run(3)}</title></head><body><header><h1>{run(5)}</h1></header><div class='{around}'><article>{''.join(out)}</article></div><section id=comments><p>{run(30)}</section><footer>{run(20)}</footer>"
+        assert html_text.main_text(page) == " ".join(article), page
+
+
+def test_html_time_is_linear():
+    for page in ("<div>" * 100_000 + "</p>" * 100_000 + "deep", "<div><table><tr><td>" * 20_000 + "</div>" * 50_000 + "</table>" * 20_000, "<a" * 200_000, "<div class='" + "ad " * 200_000 + "'>"):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 20
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
