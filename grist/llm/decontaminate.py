@@ -1,13 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document: a shard, one row of a Parquet table in the
-shared folder, holds for each term that the test items use the ascending list
-of (document, position) of its occurrences.  Postings of a term thus never
-meet in one task, however frequent it is, and no posting is ever shuffled.  A phrase is looked up in a shard by
-taking the list of its rarest term (counted over the whole index) and
-intersecting it with the lists of the others, from the rarest on, each moved
-by the term's offset.  Proximity matches ask for all terms, in any order,
-within a span.
+The index holds every term of the training texts.  It is sharded by document: a
+shard, one row of a Parquet table in the shared folder, has the ascending term
+hashes, the sizes of their posting lists, and the lists (word positions in the
+shard), one after the other; numbers are stored byte by byte, lowest bytes
+first, so that the high bytes compress to nothing.  Postings of a term thus never meet in one task,
+however frequent it is, no posting is shuffled, and the index serves any test set.
+
+Test texts are cut into windows of consecutive words and searched in passes of
+at most about PASS_TERMS words, each sent to all tasks; equal texts are searched
+once, and a text longer than SEGMENT words is cut with an overlap that keeps all
+windows.  In a shard the list of a window's rarest term there, moved by the
+term's offset, is intersected with the lists of the others, from the rarest on,
+for all windows at once.  Proximity matches ask for all terms of a window, in
+any order, within a span.
 
 Terms are 64-bit hashes of lower-cased (A-Z) words.  Null and word-less texts
 have no words; an item of fewer words than the window is one window; repeated
@@ -18,197 +24,271 @@ match, and count as the string ``null`` in the digest.  Without items nothing is
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import forget, release, written
 from .words import ALNUM, U64, Words, slices
 
-SLICE = 2_000_000  # bytes of text hashed at once
-SHARD = 8_000_000  # bytes of text in one shard at most (or one text)
-PLACE = U64(32)  # bits of a position
+SHARD = 1_000_000  # characters of text in one shard at most (or one text)
+PASS_TERMS = 1 << 20  # words of test texts searched in one pass, about 12 bytes each
+SEGMENT = 1 << 16  # words of a test text in one row
+PLACES = 1 << 20  # places of rarest terms that are looked at at once
+INDEX = "shard long, ids array<long>, hashes array<long>, words array<long>, terms binary, sizes binary, places binary"
+HITS = "shard long, doc int, runs array<struct<start:long,end:long>>, starts array<long>, found array<long>, near array<long>"
 
 
-class Windows:
-    """Test windows: for each the ids of its items and its terms."""
+def planes(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def __init__(self, items: Iterable[tuple[int | None, str | None]], size: int):
-        owners: dict[tuple[int, ...], set] = defaultdict(set)
-        self.size = size
-        for item, text in items:
-            w = Words([text], ALNUM).hash.tolist()
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                owners[tuple(w[i : i + size])].add("null" if item is None else str(item))
-        self.terms = list(owners)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.vocabulary = np.unique(np.array([t for w in self.terms for t in w], dtype=U64))
 
+def of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def index_shards(docs: DataFrame, id: str, text: str, windows) -> DataFrame:
-    """A row per shard: its documents' ids and word counts, and terms with the sizes and lists of their postings."""
+
+def index_shards(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The INDEX of all texts: a row per shard."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         release()
-        vocabulary = windows.value.vocabulary
-        task, serial = TaskContext.get().partitionId(), 0
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for lo, hi in slices([len(t or "") for t in texts], SHARD):
-                terms, places, counts, doc = [], [], [], 0
-                for a, b in slices([len(t or "") for t in texts[lo:hi]], SLICE):
-                    w = Words(texts[lo + a : lo + b], ALNUM)
-                    at = np.searchsorted(vocabulary, w.hash)
-                    hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == w.hash) if len(vocabulary) else np.empty(0, dtype=np.int64)
-                    terms.append(at[hit].astype(np.uint32))
-                    places.append((w.text[hit] + doc).astype(U64) << PLACE | (hit - w.first[w.text[hit]]).astype(U64))
-                    counts.append(np.diff(w.first))
-                    doc += b - a
-                terms, places = np.concatenate(terms), np.concatenate(places)
-                order = np.argsort(terms, kind="stable")
-                terms, places = terms[order], places[order]
-                cut = np.flatnonzero(np.diff(terms, prepend=-1 if len(terms) else []))
-                lists = [pack(p) for p in np.split(places, cut[1:])] if len(cut) else []
-                shard = f"{task:07d}-{serial:06d}"
-                serial += 1
+            for a, b in slices([len(t or "") for t in texts], SHARD):
+                w = Words(texts[a:b], ALNUM)
+                order = np.argsort(w.hash, kind="stable")
+                terms = w.hash[order]
+                begin = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)])
                 yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array([shard]),
-                    "ids": pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                    "hashes": pa.array([hashes.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                    "words": pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
-                    "terms": pa.array([terms[cut]], pa.list_(pa.int64())),
-                    "sizes": pa.array([np.diff(cut, append=len(terms)) if len(cut) else []], pa.list_(pa.int64())),
-                    "postings": pa.array([lists], pa.list_(pa.binary())),
-                })
+                    "shard": pa.array([shard], pa.int64()),
+                    "ids": pa.array([ids[a:b].to_pylist()], pa.list_(pa.int64())),
+                    "hashes": pa.array([hashes[a:b].to_pylist()], pa.list_(pa.int64())),
+                    "words": pa.array([np.diff(w.first)], pa.list_(pa.int64())),
+                    "terms": pa.array([terms[begin].astype("<u8").tobytes()], pa.binary()),
+                    "sizes": pa.array([planes(np.diff(begin, append=len(terms)))], pa.binary()),
+                    "places": pa.array([planes(order)], pa.binary()),
+                })
+                shard += 1
 
     rows = docs.select(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`")))
-    return rows.mapInArrow(build, "shard string, ids array<long>, hashes array<long>, words array<long>, terms array<long>, sizes array<long>, postings array<binary>")
-
+    return rows.mapInArrow(build, INDEX)
 
-def pack(places: np.ndarray) -> bytes:
-    """Ascending places as byte-long differences; what doesn't fit in a byte follows in full after an escape."""
-    gap = np.diff(places, prepend=U64(0))
-    small = np.minimum(gap, U64(255)).astype(np.uint8)
-    return len(small).to_bytes(4, "little") + small.tobytes() + gap[small == 255].tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    small = np.frombuffer(raw, dtype=np.uint8, count=n, offset=4)
-    gap = small.astype(U64)
-    gap[small == 255] = np.frombuffer(raw[4 + n :], dtype=U64)
-    return np.cumsum(gap, dtype=U64)
 
+class Windows:
+    """The windows of one pass: runs of ``length`` terms from ``start`` on in ``sequence``, which numbers the terms of ``vocabulary``."""
 
-def phrase(lists: dict[int, np.ndarray], terms: list[int], rank: dict[int, int]) -> np.ndarray:
-    """Starts (places) of the exact phrase: lists moved by the terms' offsets are intersected from the rarest term on."""
-    starts = None
-    for i in sorted(range(len(terms)), key=lambda i: rank[terms[i]]):
-        found = lists.get(terms[i])
-        if found is None:
-            return np.empty(0, dtype=U64)
-        if starts is None:
-            starts = found[(found & U64(0xFFFFFFFF)) >= U64(i)] - U64(i)
+    def __init__(self, segments: Iterable[tuple[int, bytes]], size: int):
+        rows = [(number, np.frombuffer(raw, dtype="<u8").astype(U64)) for number, raw in segments]
+        self.size = size
+        terms = np.concatenate([np.empty(0, dtype=U64), *[t for _, t in rows]])
+        self.vocabulary, sequence = np.unique(terms, return_inverse=True)
+        self.sequence = sequence.astype(np.int32)
+        at, start, length, owner = 0, [], [], []
+        for number, t in rows:
+            n = max(1, len(t) - size + 1)
+            start.append(np.arange(at, at + n, dtype=np.int64))
+            length.append(np.full(n, min(size, len(t)), dtype=np.int64))
+            owner.append(np.full(n, number, dtype=np.int64))
+            at += len(t)
+        none = np.empty(0, dtype=np.int64)
+        self.start, self.length, self.owner = (np.concatenate([none, *x]) for x in (start, length, owner))
+
+
+class Shard:
+    """The posting lists of one shard."""
+
+    def __init__(self, words: np.ndarray, terms: bytes, sizes: bytes, places: bytes):
+        self.first = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+        self.terms, self.sizes, self.places = np.frombuffer(terms, dtype="<u8"), of_planes(sizes), of_planes(places)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        #: (term, place) of all postings, ascending
+        self.keys = np.repeat(np.arange(len(self.terms)), self.sizes) << 32 | self.places
+
+    def lists_of(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each term's list here, and the list's size (0 if there is none)."""
+        if not len(self.terms):
+            return np.zeros(len(vocabulary), dtype=np.int64), np.zeros(len(vocabulary), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.terms, vocabulary), len(self.terms) - 1)
+        return at, np.where(self.terms[at] == vocabulary, self.sizes[at], 0)
+
+    def document(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, place, side="right") - 1
+
+    def within(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a list has a place from ``low`` to ``high``."""
+        at = np.searchsorted(self.keys, term << 32 | low)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= (term << 32 | high))
+
+    def between(self, term: int, low: int, high: int) -> np.ndarray:
+        a, b = np.searchsorted(self.keys, [term << 32 | low, (term << 32 | high) + 1])
+        return self.keys[a:b] & 0xFFFFFFFF
+
+
+def search(shard: Shard, w: Windows, span: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(window, place) of exact matches, the place being the first word's, and of near matches, where it is the rarest word's."""
+    none = np.empty(0, dtype=np.int64)
+    exact, close = ([none], [none]), ([none], [none])
+    number, size = shard.lists_of(w.vocabulary)
+    if not len(w.start) or not len(shard.keys):
+        return (none, none), (none, none)
+    offsets = np.arange(w.size)
+    spread = np.minimum(w.start[:, None] + offsets, len(w.sequence) - 1)
+    absent = offsets >= w.length[:, None]
+    sizes = np.where(absent, np.iinfo(np.int64).max, size[w.sequence[spread]])
+    live = np.flatnonzero(sizes.min(axis=1) > 0)
+    order = np.argsort(sizes[live], axis=1, kind="stable")  # offsets, from the rarest term on
+    rarest = sizes[live, order[:, 0]] if len(live) else none
+    part = (np.cumsum(rarest) - 1) // PLACES
+    for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(live)])):
+        if a == b:
+            continue
+        # every place of each window's rarest term
+        row = np.repeat(np.arange(a, b), rarest[a:b])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(rarest[a:b]) - rarest[a:b], rarest[a:b])
+        of = lambda row, k: number[w.sequence[spread[live[row], order[row, k]]]]  # noqa: B023, E731  the list of a window's k-th rarest term
+        place = shard.places[shard.begin[of(row, 0)] + step]
+        doc = shard.document(place)
+        start = place - order[row, 0]
+        fits = (start >= shard.first[doc]) & (start + w.length[live[row]] <= shard.first[doc + 1])
+        hit, begin = row[fits], start[fits]
+        for k in range(1, w.size):
+            if not len(hit):
+                break
+            want = begin + order[hit, k]
+            ok = (order[hit, k] >= w.length[live[hit]]) | shard.within(of(hit, k), want, want)
+            hit, begin = hit[ok], begin[ok]
+        exact[0].append(live[hit])
+        exact[1].append(begin)
+        if span:
+            low, high = np.maximum(place - span + 1, shard.first[doc]), np.minimum(place + span - 1, shard.first[doc + 1] - 1)
+            for k in range(1, w.size):
+                if not len(row):
+                    break
+                ok = (order[row, k] >= w.length[live[row]]) | shard.within(of(row, k), low, high)
+                row, place, low, high = row[ok], place[ok], low[ok], high[ok]
+            ok = np.zeros(len(row), dtype=bool)
+            for i in range(len(row)):
+                lists = [shard.between(int(of(row[i : i + 1], k)[0]), int(low[i]), int(high[i])) for k in range(1, int(w.length[live[row[i]]]))]
+                ok[i] = together(int(place[i]), int(low[i]), int(high[i]), lists, span)
+            close[0].append(live[row[ok]])
+            close[1].append(place[ok])
+    return tuple(np.concatenate(x) for x in exact), tuple(np.concatenate(x) for x in close)
+
+
+def together(place: int, low: int, high: int, lists: list[np.ndarray], span: int) -> bool:
+    """Whether a run of ``span`` words holds ``place`` and a place of each list."""
+    covered = np.full(place - low + 1, 0)  # by the run's first word, from low to place
+    for places in lists:
+        has = np.zeros(len(covered) + 1, dtype=np.int64)
+        for p in places.tolist():
+            a, b = max(low, p - span + 1), min(place, p)
+            if a <= b:
+                has[a - low] += 1
+                has[b - low + 1] -= 1
+        covered += np.cumsum(has)[:-1] > 0
+    return bool((covered == len(lists)).any())
+
+
+def runs_of(start: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """The spans (start, length), put together where they touch, as (start, end)."""
+    out: list[tuple[int, int]] = []
+    for a, n in sorted(set(zip(start.tolist(), length.tolist()))):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], a + n))
         else:
-            want = starts + U64(i)
-            at = np.searchsorted(found, want)
-            starts = starts[found[np.minimum(at, len(found) - 1)] == want]
-        if not len(starts):
-            break
-    return starts
-
-
-def near(lists: dict[int, np.ndarray], terms: list[int], rank: dict[int, int], span: int) -> np.ndarray:
-    """Places of the rarest term within a run of ``span`` words that holds all terms in any order."""
-    order = sorted(set(terms), key=lambda t: rank[t])
-    if any(t not in lists for t in order):
-        return np.empty(0, dtype=U64)
-    out = []
-    for place in lists[order[0]].tolist():
-        doc, p = place >> 32 << 32, place & 0xFFFFFFFF
-        lo, hi = doc | max(0, p - span + 1), doc | min(0xFFFFFFFF, p + span - 1)
-        by_term = [lists[t][np.searchsorted(lists[t], U64(lo)) : np.searchsorted(lists[t], U64(hi), side="right")].tolist() for t in order[1:]]
-        if all(by_term) and any(all(any(s <= q < s + span for q in qs) for qs in by_term) for s in range(max(doc, place - span + 1), place + 1)):
-            out.append(place)
-    return np.array(out, dtype=U64)
+            out.append((a, a + n))
+    return out
 
 
 def matches(index: DataFrame, windows, span: int | None = None) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit, starts (of exact matches), items; with ``span`` also near_items."""
-    spark = index.sparkSession
-    counts = {r.terms: r.total for r in index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x")).groupBy("x.terms").agg(F.sum("x.sizes").alias("total")).toLocalIterator()}  # bounded by the items' vocabulary
-    rank = spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(counts, key=lambda t: (counts[t], t)))})
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, ranks = windows.value, rank.value
-        number = {int(t): i for i, t in enumerate(w.vocabulary.tolist())}
-        phrases = [[number[t] for t in terms] for terms in w.terms]
-        usable = [i for i, terms in enumerate(phrases) if all(t in ranks for t in terms)]
-        rarest: dict[int, list[int]] = defaultdict(list)
-        for i in usable:
-            rarest[min(phrases[i], key=lambda t: ranks[t])].append(i)
-        needed = {t for i in usable for t in phrases[i]}
-
-        def finish(lists: dict[int, np.ndarray], ids: list, hashes: list, words: list) -> pa.RecordBatch:
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set] = defaultdict(set)
-            close: dict[int, set] = defaultdict(set)
-            for term in lists.keys() & rarest.keys():
-                for i in rarest[term]:
-                    for place in phrase(lists, phrases[i], ranks).tolist():
-                        hits[place >> 32].append((place & 0xFFFFFFFF, len(phrases[i])))
-                        items[place >> 32].update(w.owners[i])
-                    if span:
-                        for place in near(lists, phrases[i], ranks, span).tolist():
-                            close[place >> 32].update(w.owners[i])
-            n = range(len(ids))
-            return pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()),
-                "text_hash": pa.array(hashes, pa.int64()),
-                "n_words": pa.array(words, pa.int64()),
-                "n_hit": pa.array([covered(hits[d]) if d in hits else 0 for d in n], pa.int64()),
-                "starts": pa.array([sorted(s for s, _ in set(hits[d])) if d in hits else [] for d in n], pa.list_(pa.int64())),
-                "items": pa.array([sorted(items[d]) if d in items else [] for d in n], pa.list_(pa.string())),
-                "near_items": pa.array([sorted(close[d]) if d in close else [] for d in n], pa.list_(pa.string())),
-            })
+    """HITS of one pass: per document with a match the runs of words that are hit, the matches' first words, and the numbers of the texts found and nearly found."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        w = windows.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, hashes, words, terms, postings = (batch.column(k)[i].as_py() for k in range(5))
-                yield finish({t: unpack(raw) for t, raw in zip(terms, postings) if t in needed}, ids, hashes, words)
-
-    return index.select("ids", "hashes", "words", "terms", "postings").mapInArrow(search, "doc_id long, text_hash long, n_words long, n_hit long, starts array<long>, items array<string>, near_items array<string>")
-
+                number, words, terms, sizes, places = (batch.column(k)[i].as_py() for k in range(5))
+                shard = Shard(np.array(words, dtype=np.int64), terms, sizes, places)
+                (hit, start), (close, place) = search(shard, w, span)
+                doc, near = shard.document(start), shard.document(place)
+                rows = []
+                for d in np.unique(np.concatenate([doc, near])).tolist():
+                    of, by = np.flatnonzero(doc == d), np.flatnonzero(near == d)
+                    begin = start[of] - shard.first[d]
+                    rows.append((d, [{"start": a, "end": b} for a, b in runs_of(begin, w.length[hit[of]])], np.unique(begin), np.unique(w.owner[hit[of]]), np.unique(w.owner[close[by]])))
+                if rows:
+                    kinds = (pa.int32(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *[pa.list_(pa.int64())] * 3)
+                    columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *columns], names=["shard", "doc", "runs", "starts", "found", "near"])
+
+    return index.select("shard", "words", "terms", "sizes", "places").mapInArrow(run, HITS)
+
+
+def segments(texts: DataFrame, size: int) -> DataFrame:
+    """(number, piece, n, terms) of (number, text): the words' hashes, in pieces of at most SEGMENT words that share ``size`` - 1 words."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = Words([text], ALNUM).hash
+                for piece, a in enumerate(range(0, max(1, len(terms) - size + 1), SEGMENT - size + 1)):
+                    if len(terms):
+                        rows.append((number, piece, len(terms[a : a + SEGMENT]), terms[a : a + SEGMENT].astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["number", "piece", "n", "terms"])
 
-def covered(hits: list[tuple[int, int]]) -> int:
-    """How many positions the spans (start, length) cover."""
-    total, end = 0, 0
-    for start, length in sorted(hits):
-        total += max(0, start + length - max(start, end))
-        end = max(end, start + length)
-    return total
+    return texts.select("number", "text").mapInArrow(cut, "number long, piece int, n long, terms binary")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, most_items_mb: int = 256, span: int | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, span: int | None = None) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash (Spark's
-    xxhash64), starts, items, near_items.
-
-    The test items are sent to every task; more than ``most_items_mb`` of text is refused, to be run in parts.
+    xxhash64), starts, items, near_items (with ``span``: items with a window all of whose words are in a run
+    of that many words).
     """
-    spark: SparkSession = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item}`"), F.col(f"`{item_text}`"))
-    size = items.agg(F.sum(F.octet_length(F.col(f"`{item_text}`")))).first()[0] or 0
-    if size > most_items_mb << 20:
-        raise ValueError(f"{size} bytes of test items; give them in parts of at most {most_items_mb} MB")
-    windows = spark.sparkContext.broadcast(Windows((tuple(r) for r in items.collect()), window))
-    index = written(index_shards(docs, id, text, windows), "index")
-    found = matches(index, windows, span)
-    joined = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash", "starts", "items", "near_items")
+    spark = docs.sparkSession
+    tables = [index := written(index_shards(docs, id, text), "index")]
+    items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text}`").alias("item text")).where("`item text` is not null")
+    tables.append(texts := written(items.select("item text").distinct().select(F.monotonically_increasing_id().alias("number"), F.col("item text").alias("text")), "texts"))
+    tables.append(cut := written(segments(texts, window), "segments"))
+    passes = -(-(cut.agg(F.sum("n")).first()[0] or 0) // PASS_TERMS)
+    parts = []
+    for i in range(passes):
+        some = cut.where(F.pmod(F.xxhash64("number", "piece"), F.lit(passes)) == i).select("number", "terms")
+        windows = spark.sparkContext.broadcast(Windows(((r.number, r.terms) for r in some.toLocalIterator()), window))  # bounded by PASS_TERMS
+        parts.append(written(matches(index, windows, span), "hits"))
+        windows.unpersist()
+    tables += parts
+    hits = parts[0] if parts else spark.createDataFrame([], HITS)
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
+    named = items.join(texts.withColumnRenamed("text", "item text"), "item text").select("number", "item")
+
+    def names(column: str) -> DataFrame:
+        each = hits.select("shard", "doc", F.explode(column).alias("number")).join(named, "number")
+        return each.groupBy("shard", "doc").agg(F.sort_array(F.collect_set("item")).alias(column))
+
+    ordered = F.sort_array(F.flatten(F.collect_list("runs")))
+    covered = "aggregate(runs, struct(0L as n, 0L as end), (s, r) -> struct(s.n + greatest(0L, r.end - greatest(r.start, s.end)) as n, greatest(s.end, r.end) as end), s -> s.n)"
+    merged = hits.groupBy("shard", "doc").agg(ordered.alias("runs"), F.array_distinct(F.sort_array(F.flatten(F.collect_list("starts")))).alias("starts"))
+    merged = merged.select("shard", "doc", F.expr(covered).alias("n_hit"), "starts")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "hashes", "words")).alias("doc", "row")).select("shard", "doc", F.col("row.ids").alias("doc_id"), F.col("row.hashes").alias("text_hash"), F.col("row.words").alias("n_words"))
+    for more in (merged, names("found"), *([names("near")] if span else [])):
+        rows = rows.join(more, ["shard", "doc"], "left")
+    empty = F.expr("cast(array() as array<string>)")
+    found = F.coalesce("found", empty)
+    near = F.coalesce("near", empty) if span else empty
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    out = rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "text_hash", F.coalesce("starts", F.expr("cast(array() as array<bigint>)")).alias("starts"), found.alias("items"), near.alias("near_items"),
+    )
+    out = written(out, "contamination")
+    forget(spark, *tables)
+    return out

@@ -18,6 +18,8 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 #: No source is repeated more than this many times; no document is left out.
 REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
+#: A benchmark window is near where a run of this many words holds all its words in any order.
+NEAR_SPAN = 20
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +59,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), span=NEAR_SPAN)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +150,14 @@ wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest([array_to_strin
 places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k),
 hits AS (SELECT p.doc_id, p.i, p.k, wins.item_id FROM places p JOIN wins ON wins.k = p.k AND wins.s = array_to_string(p.w[p.i : p.i + p.k - 1], ' ')),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS l FROM hits GROUP BY 1)
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS l FROM hits GROUP BY 1),
+bags AS (SELECT DISTINCT item_id, list_sort(list_distinct(w[i : i + least(len(w), 10) - 1])) AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+occ AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+freq AS (SELECT term, count(*) AS f FROM occ GROUP BY 1),
+rare AS (SELECT item_id, t, arg_min(term, f) AS term FROM (SELECT item_id, t, unnest(t) AS term FROM bags) LEFT JOIN freq USING (term) GROUP BY 1, 2 HAVING count(f) = count(*)),
+cand AS (SELECT DISTINCT o.doc_id, r.item_id, r.t, o.p, d.w FROM rare r JOIN occ o USING (term) JOIN d ON d.doc_id = o.doc_id WHERE list_has_all(d.w[greatest(1, o.p - {NEAR_SPAN - 1}) : o.p + {NEAR_SPAN - 1}], r.t)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM cand WHERE len(list_filter(range(p - {NEAR_SPAN - 1}, p + 1), lambda s: list_has_all(w[greatest(1, s) : s + {NEAR_SPAN - 1}], t))) > 0 GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """,
 }

@@ -102,7 +102,9 @@ def brute_hits(docs, items, size):
 
 def test_decontamination_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD", 3000)
-    monkeypatch.setattr(decontaminate, "SLICE", 500)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 14)  # a text in several pieces
+    monkeypatch.setattr(decontaminate, "PASS_TERMS", 100)  # several passes over the index
+    monkeypatch.setattr(decontaminate, "PLACES", 50)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)] + ["the"] * 30
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 9, 10, 25])))) for i in range(30)] + [(None, "w1 w2"), (7, None), (8, "The, W3!")]
@@ -128,14 +130,36 @@ def test_decontamination_odd_tables(spark, odd_docs, no_docs):
     assert sum(r.contaminated for r in got) == 2 and len(got) == 8 and all(list(r.near_items) == ["1"] for r in got if r.contaminated)
     assert decontaminate.contamination(no_docs, b).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(odd_docs, b.limit(0)).collect())
-    assert decontaminate.unpack(decontaminate.pack(np.array([3, 3 + 254, 600, 1 << 40], dtype=np.uint64))).tolist() == [3, 257, 600, 1 << 40]
+    assert decontaminate.of_planes(decontaminate.planes(np.array([3, 600, (1 << 32) - 1]))).tolist() == [3, 600, (1 << 32) - 1]
 
 
-def test_near_matches():
-    lists = {1: np.array([0, 50], dtype=np.uint64), 2: np.array([4, 90], dtype=np.uint64), 3: np.array([2, 52], dtype=np.uint64)}
-    rank = {1: 0, 2: 1, 3: 2}
-    assert decontaminate.near(lists, [3, 2, 1], rank, 5).tolist() == [0] and decontaminate.near(lists, [1, 2], rank, 4).tolist() == []
-    assert decontaminate.phrase(lists, [1, 3], {1: 0, 3: 1}).tolist() == []
+def brute_near(docs, items, size, span):
+    """Items of each text with a window all of whose words are in a run of ``span`` words."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for d, t in docs:
+        w, found = words(t), set()
+        for i, x in items:
+            terms = words(x)
+            windows = [set(terms[j : j + size]) for j in range(max(1, len(terms) - size + 1))] if terms else []
+            if any(win <= set(w[s : s + span]) for win in windows for s in range(len(w))):
+                found.add(str(i))
+        out.append((d, sorted(found)))
+    return sorted(out)
+
+
+def test_near_matches_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD", 1000)
+    monkeypatch.setattr(decontaminate, "PASS_TERMS", 60)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 4, 5, 7])))) for i in range(25)] + [(25, "w1 w1 w2 w1")]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 20, 60])))) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    for span in (5, 8):
+        got = decontaminate.contamination(d, b, window=4, span=span).collect()
+        assert sorted((r.doc_id, list(r.near_items)) for r in got) == brute_near(docs, items, 4, span)
+        assert all(set(r["items"]) <= set(r.near_items) for r in got) and any(set(r["items"]) < set(r.near_items) for r in got)
 
 
 def test_chain_equals_enumeration():
