@@ -82,7 +82,7 @@ WITH RECURSIVE u AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS after FROM u),
-p AS (SELECT page_id, url, html, host, regexp_extract(after, '^[^?#]*') AS path, host || regexp_extract(after, '^[^#]*') AS key FROM split),
+p AS (SELECT page_id, url, regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<noscript\b.*?</noscript\s*>', '', 'g'), '(?is)^(.*?)(?:</head\b|<body\b|\z)', 1) AS html, host, regexp_extract(after, '^[^?#]*') AS path, host || regexp_extract(after, '^[^#]*') AS key FROM split),
 tags AS (SELECT key, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM p WHERE key <> ''),
 links AS (SELECT key AS a, regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]*)', 1) AS href FROM tags WHERE regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical["''\s>/]')),
 targets AS (SELECT a, substr(href, instr(href, '://') + 3) AS rest FROM links WHERE instr(href, '://') > 0),

@@ -41,6 +41,81 @@ def test_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block"}
 
 
+
+def test_links_in_heads_only():
+    link = "<link rel=canonical href=http://x.net/1>"
+    of = lambda head: urls.links_of("http://a.com/d/p?q=1", head)
+    assert of(f"<html><head><title>{link}</title><!-- {link} --><script>{link}</script>") == [] and of(f"<p>text</p>{link}") == [] and of(f"words {link}") == [] and of(f"</head>{link}") == []
+    assert of("<LINK HREF='../e?x=1&amp;y=2' REL='next CANONICAL'>") == ["http://a.com/e?x=1&y=2"] and of("<link rel=canonical href='//b.org/z'>") == ["http://b.org/z"]
+    assert of("<base href='http://c.com/k/'><link rel=canonical href=m><meta http-equiv=Refresh content='3; url=/n'>") == ["http://c.com/k/m", "http://c.com/n"]
+    assert of("<link rel=canonical href='http://[bad'><link rel=canonical><meta http-equiv=refresh content=5>") == [] and of("") == of("<") == []
+
+
+def brute_verdicts(pages, rules, edges):
+    """(page_id, rule, verdict) with every rule tried on every url, and aliases by search."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def parts(u):
+        if u is None or "://" not in u:
+            return "", "", ""
+        rest = u.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        after = rest[len(host) :]
+        host = host.translate(low)
+        return host, re.match("[^?#]*", after)[0], host + re.match("[^#]*", after)[0]
+
+    def rule_of(u):
+        host, path, _ = parts(u)
+        fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2:] if fits else (None, None)
+
+    near = {}
+    for a, b in edges:
+        a, b = parts(a)[2], parts(b)[2]
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = []
+    for i, u in pages:
+        rule, verdict = rule_of(u)
+        if verdict is None:
+            seen, todo = set(), [parts(u)[2]]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    todo += near.get(k, ())
+            by = {rule_of("http://" + k)[1] for k in seen} if parts(u)[2] in near else set()
+            verdict = "allow" if "allow" in by or "block" not in by else "block"
+        out.append((i, rule, verdict))
+    return sorted(out)
+
+
+def test_many_rules_and_aliases_against_brute_force(spark):
+    rng = random.Random(3)
+    hosts = [f"{a}{b}.{c}" for a in ("", "www.", "x.y.") for b in ("one", "two", "three", "Four") for c in ("com", "net", "co.uk")]
+    path = lambda: "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(5)))
+    rules = list({(h.lower(), p): (rng.choice(["allow", "block"]), h.lower(), p) for h, p in ((rng.choice([*hosts, "com", "net", "uk"]), path()) for _ in range(8000))}.values())
+    rules += [("block" if rules[0][0] == "allow" else "allow", *rules[0][1:])] + [("block", f"many{i}.org", f"/{i}") for i in range(5000)]
+    pages, edges = [], []
+    for i in range(400):
+        u = rng.choice([None, "no scheme", *[f"http://{rng.choice(hosts + ['free.org', 'other.org', f'many{i}.org'])}{path()}{rng.choice(['', '?q=1', '#f', str(i)])}"] * 12])
+        html = None
+        if u and "://" in u and rng.random() < 0.5:
+            target = f"http://{rng.choice([*hosts, 'free.org', 'else.org'])}{path()}"
+            edges.append((u, target))
+            html = rng.choice(['<head><link rel="canonical" href="{}"></head>', "<meta http-equiv=refresh content='0;url={}'><body>", "<html><head><title>t</title><link rel=canonical href={}>"]).format(target)
+        pages.append((i, u, html))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    want = brute_verdicts([p[:2] for p in pages], rules, edges)
+    for given in (rules, table):
+        assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, given).collect()) == want
+    few = rules[:40]
+    want = brute_verdicts([p[:2] for p in pages], few, edges)
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, few).collect()) == want
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, spark.createDataFrame(few, table.schema)).collect()) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar">
 <header><a href=/>Site of the things that we all like to read about here</a></header><nav><ul><li><a href=1>One</a></li></ul></nav>
 <div class="ad">Buy the thing that is the best of all the things in the world now</div><article><header><h1>Head &amp; line</h1></header><p><b>The first
@@ -208,7 +283,29 @@ def test_nearest_against_brute_force(spark, k):
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(200, 16)) * 10 ** rng.uniform(-3, 3, (200, 1)), rng.normal(size=(200, 16))
-    qa, sa, na, ba, ea = ann.quantise(a)
-    qb, sb, nb, bb, eb = ann.quantise(b)
-    about = (qa.astype(float) @ qb.T.astype(float)) * np.outer(sa, sb)
-    assert (np.abs(about - a @ b.T) <= np.outer(ba, eb) + np.outer(ea, nb) + 1e-9 * np.outer(na, nb)).all()
+    row = np.arange(200)
+    qa, qb = ann.quantise(row, row, a), ann.quantise(row, row, b)
+    first = (qa["int8"][:, 0].astype(float) @ qb["int8"][:, 0].T.astype(float)) * np.outer(qa["scale"][:, 0], qb["scale"][:, 0])
+    second = ann.restored(qa) @ ann.restored(qb).T
+    for i, about in enumerate((first, second)):
+        bound = np.outer(qa["back"][:, i], qb["left"][:, i]) + np.outer(qa["left"][:, i], qb["norm"]) + 1e-9 * np.outer(qa["norm"], qb["norm"])
+        assert (np.abs(about - a @ b.T) <= bound).all()
+    assert (np.abs(second - a @ b.T) <= 1e-3 * np.outer(qa["norm"], qb["norm"])).all()
+
+
+def test_bounds_drop_what_is_out_of_reach(monkeypatch):
+    monkeypatch.setattr(ann, "HELD", 50)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 32))
+    row = np.arange(500)
+    bounds = ann.Bounds(ann.quantise(row[:5], row[:5], x[:5]), 4)
+    for a in range(0, 500, 100):
+        bounds.meet(ann.quantise(row[a : a + 100], row[a : a + 100], x[a : a + 100]))
+    got = {}
+    for batch in bounds.rows():
+        for q, c in zip(batch.column("query_id").to_pylist(), batch.column("vec_id").to_pylist()):
+            got.setdefault(q, set()).add(c)
+    scores = x[:5] @ x.T
+    for q in range(5):
+        scores[q, q] = -np.inf
+        assert set(np.argsort(-scores[q])[:4].tolist()) <= got[q] and len(got[q]) < 20
