@@ -10,11 +10,11 @@ begins and -1 where it ends; a turn's place in its conversation is the prefix
 sum of the token counts before it.
 
 A formatted conversation is a run of rows, one a turn, so its length is bounded
-by disk only; it is read back as a stream in order.  Defined cases: a null text
-is empty; a null role is the empty role; roles other than the three known ones
-are spelled out after a role id; null turns come first; rows that tie on the
-turn follow in order of role and text; repeated rows are repeated turns; a null
-conv_id is a conversation of its own.
+by disk only; it is read back as a stream in order, each token once.  Defined
+cases: a null text is empty; a null role and an empty one are the empty role;
+roles other than the three known ones are spelled out after a role id; null turns
+come first; rows that tie on the turn follow in order of role and token ids;
+repeated rows are repeated turns; all rows with a null conv_id are one conversation.
 """
 
 from __future__ import annotations
@@ -42,14 +42,17 @@ LOSS_ROLE = "assistant"
 
 _ESCAPED = re.compile("|".join([r"\\", *(re.escape(c.strip()) for c in CONTROL)]))
 _UNESCAPED = re.compile(r"\\(.)", re.S)
+_UNESCAPED_BYTES = re.compile(rb"\\(.)", re.S)  # what is escaped is ASCII
 
 
 def escape(text: str) -> str:
+    if "\\" not in text and "### " not in text and "</" not in text:  # how control strings begin
+        return text
     return _ESCAPED.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPED.sub(r"\1", text)
+    return _UNESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 class Codec:
@@ -58,22 +61,28 @@ class Codec:
     def __init__(self, path: str):
         self.encoder = shared_encoder(path, plain=True)
         self.base = self.encoder.tokenizer.get_vocab_size()
+        self.heads = {role: np.array([self.base + i], dtype="<u4").tobytes() for role, i in ROLES.items()}
+        self.other, self.role_end, self.turn_end = (np.array([self.base + i], dtype="<u4").tobytes() for i in (OTHER, ROLE_END, TURN_END))
+
+    def flat(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids and the mask of all turns, one after the other, and where each begins (and the last ends)."""
+        bodies = self.encoder.encode([escape(text) for _, text in turns])
+        odd = [i for i, (role, _) in enumerate(turns) if role not in ROLES]
+        names = dict(zip(odd, self.encoder.encode([escape(turns[i][0]) for i in odd])))
+        heads = [self.heads.get(role) or self.other + names[i] + self.role_end for i, (role, _) in enumerate(turns)]
+        ids = np.frombuffer(b"".join([x for head, body in zip(heads, bodies) for x in (head, body, self.turn_end)]), dtype="<u4")
+        head, body = (np.array([len(x) // 4 for x in xs], dtype=np.int64) for xs in (heads, bodies))
+        offsets = np.concatenate([[0], np.cumsum(head + body + 1)]).astype(np.int64)
+        step = np.zeros(len(ids) + 1, dtype=np.int8)
+        said = np.flatnonzero(np.array([role == LOSS_ROLE for role, _ in turns], dtype=bool) & (body > 0))
+        step[offsets[said] + head[said]] += 1
+        step[offsets[said] + head[said] + body[said]] -= 1
+        return ids, np.cumsum(step[:-1], dtype=np.int8), offsets
 
     def turns(self, turns: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, mask) of each (role, text)."""
-        bodies = self.encoder.encode([escape(text) for _, text in turns])
-        names = self.encoder.encode([escape(role) if role not in ROLES else "" for role, _ in turns])
-        out = []
-        for (role, _), body, name in zip(turns, bodies, names):
-            text, other = np.frombuffer(body, dtype="<u4"), np.frombuffer(name, dtype="<u4")
-            head = [[self.base + ROLES[role]]] if role in ROLES else [[self.base + OTHER], other, [self.base + ROLE_END]]
-            ids = np.concatenate([*head, text, [self.base + TURN_END]]).astype("<u4")
-            step = np.zeros(len(ids) + 1, dtype=np.int8)
-            if role == LOSS_ROLE:
-                step[len(ids) - 1 - len(text)] += 1
-                step[len(ids) - 1] -= 1
-            out.append((ids, np.cumsum(step[:-1], dtype=np.int8)))
-        return out
+        ids, mask, offsets = self.flat(turns)
+        return [(ids[a:b], mask[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
     def text(self, ids: np.ndarray) -> str:
         return self.encoder.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
@@ -114,11 +123,10 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
         for batch in batches:
             roles, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))
             for a, b in slices([len(t) for t in texts], 1_000_000):
-                done = codec.turns(list(zip(roles[a:b], texts[a:b])))
-                yield pa.RecordBatch.from_pydict({
-                    "conv_id": batch.column(0)[a:b], "turn": batch.column(1)[a:b], "role": pa.array(roles[a:b], pa.string()),
-                    "ids": pa.array([i.tolist() for i, _ in done], pa.list_(pa.int32())), "mask": pa.array([m.tolist() for _, m in done], pa.list_(pa.int8())),
-                })
+                ids, mask, offsets = codec.flat(list(zip(roles[a:b], texts[a:b])))
+                offsets = pa.array(offsets.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids.view("<i4"), mask)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(roles[a:b], pa.string()), *lists], names=["conv_id", "turn", "role", "ids", "mask"])
 
     rows = rows.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
     parts = rows.mapInArrow(encode, "conv_id long, turn long, role string, ids array<int>, mask array<tinyint>")
@@ -137,28 +145,55 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, held, sums = Codec(path), None, None
+        names = {codec.base + v: k for k, v in ROLES.items()}
+        shown = {codec.base + i: len(c) for i, c in enumerate(CONTROL)}
         done: list[tuple] = []
 
         def close() -> None:
             done.append((held, sums.n, sums.turns.hexdigest(), sums.loss_chars, sums.loss.hexdigest(), sums.chars, sums.tokens))
 
         for batch in batches:
-            for key, start, ids, mask in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, mask = batch.column(2).flatten().to_numpy().view("<u4"), batch.column(3).flatten().to_numpy().astype(bool)
+            offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
+            offsets = (offsets - offsets[0]).tolist()
+            raw, at_byte = codec.encoder.spell(ids, codec.base)
+            cut = np.flatnonzero(ids >= codec.base)
+            ends, kinds = cut.tolist(), ids[cut].tolist()
+            loss = np.concatenate([[0], np.cumsum(mask)])  # masked ids before each place
+            i = 0
+            for key, start, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1], offsets[1:]):
                 if sums is None or key != held:
                     if sums is not None:
                         close()
                     held, sums = key, Sums()
                 if start != sums.tokens:
                     raise ValueError(f"conversation {key}: a part is missing")
-                ids, mask = np.array(ids, dtype="<u4"), np.array(mask, dtype=bool)
-                for role, text in codec.parse(ids):
-                    sums.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    sums.n += 1
-                loss = unescape(codec.text(ids[mask])) if mask.any() else ""
-                sums.loss.update(loss.encode("utf-8", "surrogatepass"))
-                sums.loss_chars += len(loss)
-                sums.chars += len(codec.render(ids))
-                sums.tokens += len(ids)
+                role, at = b"", a
+                while i < len(ends) and ends[i] < b:
+                    end, kind = ends[i], kinds[i]
+                    i += 1
+                    written = raw[at_byte[at] : at_byte[end]]
+                    body = _UNESCAPED_BYTES.sub(rb"\1", written) if b"\\" in written else written
+                    sums.chars += len(written.decode("utf-8", "replace")) + shown[kind]
+                    masked = int(loss[end] - loss[at])
+                    if masked:
+                        said = body if masked == end - at else _UNESCAPED_BYTES.sub(rb"\1", codec.encoder.spell(ids[at:end][mask[at:end]], codec.base)[0])
+                        sums.loss.update(said)
+                        sums.loss_chars += len(said.decode("utf-8", "replace"))
+                    if mask[end]:
+                        raise ValueError(f"conversation {key}: the mask covers a reserved id")
+                    if kind in names:
+                        role = names[kind].encode()
+                    elif kind == codec.base + ROLE_END:
+                        role = body
+                    elif kind == codec.base + TURN_END:
+                        sums.turns.update(role + b"\n" + body + b"\n")
+                        sums.n += 1
+                        role = b""
+                    at = end + 1
+                if at != b:
+                    raise ValueError(f"conversation {key}: a turn without its end")
+                sums.tokens += b - a
             yield _summary(done)
             done.clear()
         if sums is not None:

@@ -15,6 +15,8 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
+
 from .shared import held
 
 _CUT = re.compile(r" (?=\S)")
@@ -61,6 +63,7 @@ class PieceEncoder:
         self.heads: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.spelled: tuple[list[bytes], np.ndarray] | None = None
 
     def _learn(self, cache: dict[str, bytes], new: list[str], before: str) -> None:
         hard = []
@@ -85,6 +88,20 @@ class PieceEncoder:
             for piece, e in zip(some, self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)):
                 cache[piece] = array("I", e.ids).tobytes()
 
+    def spell(self, ids: np.ndarray, base: int) -> tuple[bytes, list[int]]:
+        """The UTF-8 bytes that ids below ``base`` stand for, one after the other, and where each id's begin (and the last's end)."""
+        if self.spelled is None:
+            table = [b""] * base
+            back = {ord(c): b for b, c in self.letters.items()}
+            added = {t["id"]: t["content"].encode() for t in json.loads(self.tokenizer.to_str()).get("added_tokens", [])}
+            for token, i in self.tokenizer.get_vocab().items():
+                table[i] = added.get(i) or (bytes(map(back.__getitem__, map(ord, token))) if self.by_byte else self.tokenizer.decode([i], skip_special_tokens=False).encode())
+            self.spelled = (table, np.array([*map(len, table)], dtype=np.int64))
+        table, length = self.spelled
+        plain = ids < base
+        size = np.where(plain, length[np.where(plain, ids, 0)], 0)
+        return b"".join(map(table.__getitem__, ids[plain].tolist())), [0, *np.cumsum(size).tolist()]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_byte:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]

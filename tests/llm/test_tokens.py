@@ -1,3 +1,4 @@
+import re
 import zlib
 from array import array
 
@@ -113,3 +114,37 @@ def test_conversations(spark):
     assert got[1].n_turns == 3 and got[1].turns_sha256 == digest("\nfirst\nuser\n\nassistant\nyes\n") and got[1].loss_sha256 == digest("yes") and got[1].loss_chars == 3
     assert got[2].n_turns == 2 and got[2].loss_sha256 == digest("") and got[None].turns_sha256 == digest("tool\nt\n")
     assert chat.formatted_digests(df.limit(0)).count() == 0
+
+
+def test_formatted_conversations_against_brute_force(spark):
+    """Digests and lengths worked out from the rows alone, conversation -7 and hostile texts included."""
+    import hashlib
+    import random
+
+    rng = random.Random(1)
+    said = r"\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    parts = ["a b", "\\", "### User: ", "</turn>\n", "é学", "  ", "\n", "</role> ", "\\\\", "word", "😀", "###", "<|endoftext|>"]
+    for conv in range(60):
+        for turn in range(rng.randrange(1, 6)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", "assistant", "system", "tool", "</role>", ""]), "".join(rng.choice(parts) for _ in range(rng.randrange(8)))))
+    rows += [(100, t, ["user", "assistant"][t % 2], "long text " * 20_000 + str(t)) for t in range(4)] + [(101, t, "assistant", f"{t} ") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.formatted_digests(df).collect()}
+    escaped = lambda t: re.sub("|".join(map(re.escape, ["\\", *(c.strip() for c in chat.CONTROL)])), lambda m: "\\" + m[0], t)
+    for conv in {r[0] for r in rows}:
+        turns = [(r, t) for _, _, r, t in sorted(x for x in rows if x[0] == conv)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        shown = "".join((chat.CONTROL[chat.ROLES[r]] if r in chat.ROLES else f"{chat.CONTROL[3]}{escaped(r)}{chat.CONTROL[4]}") + escaped(t) + chat.CONTROL[5] for r, t in turns)
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want = (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), len(shown))
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == want, conv
+    assert len(got) == len({r[0] for r in rows})
+
+
+def test_ties_of_turns(spark):
+    rows = [(1, 0, "user", t) for t in ("b", "a", "c", "a")] + [(1, 0, "assistant", "z"), (1, None, "user", "first"), (1, 0, None, "nobody")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {chat.formatted_digests(spark.createDataFrame(some, schema).repartition(3)).first().turns_sha256 for some in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(got) == 1
