@@ -190,10 +190,10 @@ def nearest(table: DataFrame, is_query: Column, id: str = "vec_id", vector: str
     queries = written(rows.where("asks").select("id", "vector").distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
     size = int(min(16384, max(1024, candidates.count() // 48)))  # rows of a block: tiles for many tasks, yet few copies of each block
     c, q = written(blocks(candidates, size), "blocks"), written(blocks(queries, size), "blocks")
-    # query blocks in groups of about four, candidate blocks in as many groups as give every core some tiles
+    # query blocks in groups of about four, candidate blocks in as many groups as give every core two tiles
     n_q, n_c = q.count(), c.count()
     g = max(1, -(-n_q // 4))
-    h = max(1, min(n_c, -(-4 * spark.sparkContext.defaultParallelism // g)))
+    h = max(1, min(n_c, -(-2 * spark.sparkContext.defaultParallelism // g)))
     group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tiles_c = c.select("dim", group(h).alias("h"), F.col("rows").alias("c"), every(g).alias("g"))
