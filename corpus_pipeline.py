@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8.
 SHINGLE, NUM, DEN = 5, 8, 10
-BROADCAST_ROWS = 1_000_000  # of two numbers each
+BROADCAST_ROWS = 250_000  # of two numbers each
 
 
 def _batches(spark: SparkSession) -> None:
@@ -33,6 +33,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 
+def _of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to (doc_id, text_hash) rows; null ids are equal."""
+    rows = rows.select(F.col("doc_id").alias("row id"), F.col("text_hash").alias("row hash"))
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col("row id")) & (F.xxhash64(docs["text"]) == F.col("row hash")), how)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts that no learned language fits."""
     _batches(spark)
@@ -44,17 +50,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each group of linked texts, once."""
     _batches(spark)
     docs = docs.select(*COLUMNS)
-    found = written(ngram_join.jaccard_components(docs, k=SHINGLE, num=NUM, den=DEN), "groups")
+    found = ngram_join.jaccard_components(docs, k=SHINGLE, num=NUM, den=DEN)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = _without(docs, found.where(~stays))
     repeated = written(found.where(stays).groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    return _without(kept, repeated).unionByName(kept.join(repeated.select("doc_id").distinct().withColumnRenamed("doc_id", "again"), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").dropDuplicates(["doc_id", "text"]).join(repeated.select(F.col("doc_id").alias("again"), "text_hash"), F.col("doc_id").eqNullSafe(F.col("again")) & (F.xxhash64("text") == F.col("text_hash")), "left_semi"))
+    return _without(kept, repeated).unionByName(_of(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
+    """Drops documents that hold ten consecutive words of a benchmark item.
+
+    Near matches decide nothing here: a clean document may well hold a window's words in another order.
+    """
     _batches(spark)
     docs = docs.select(*COLUMNS)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
