@@ -75,6 +75,57 @@ def test_jaccard_against_brute_force(spark, k, num, den, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_groups(docs, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (2, 1, 2)])
+def test_jaccard_links_against_brute_force(spark, k, num, den, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS", 40)
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)]
+    docs = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 8, 40, 90]))]
+        for _ in range(rng.choice([1, 3, 12])):
+            text = list(base)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            docs.append((len(docs), " ".join(text)))
+    docs += [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    links, members = ngram_join.jaccard_links(df, k=k, num=num, den=den)
+    sets = {}
+    for i, t in docs:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+    linked = lambda a, b: bool(a) and den * len(a & b) >= num * len(a | b)
+    rows = {r.doc_id: r for r in members.collect()}
+    assert {i: r.n_links for i, r in rows.items()} == {i: sum(linked(sets[i], sets[j]) for j in sets if j != i) for i in sets}
+    of = {r.class_id: sets[i] for i, r in rows.items() if r.class_id is not None}
+    got = {(r.class_a, r.class_b) for r in links.collect()}
+    assert got == {(a, b) for a in of for b in of if a < b and linked(of[a], of[b])} and len(of) == len({s for s in sets.values() if s})
+
+
+def test_bucket_counts_cost_what_a_slice_holds():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    total = ngram_join.bucket_counts(([f"a{i} b{i} c{i} d{i}" for i in range(200)] for _ in range(100)), 3, 26)
+    assert total.sum() == 40_000 and (total == 0).sum() > (1 << 26) - 500
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10  # kB
+
+
+def test_jaccard_tiles_give_few_links():
+    """A clique of near copies in different components gives a spanning set of links only."""
+    base = np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    v = ngram_join.Verifier(8, 10, False)
+    found = []
+    for i in range(300):
+        s = base.copy()
+        s[i % 200] += np.uint64(i + 1)
+        found += v.add(i, 1000 + i, np.unique(s))
+    assert len(found) == 299
+
+
 def test_jaccard_odd_tables(spark, odd_docs, no_docs):
     rows = ngram_join.jaccard_components(odd_docs).collect()
     assert len(rows) == 8 and {r.component_id for r in rows if r.doc_id == 2} == {2} and sum(r.component_id == 1 for r in rows) == 3

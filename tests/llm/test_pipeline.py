@@ -80,3 +80,45 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, extra int")
     kept = corpus_pipeline.near_duplicates(spark, df, SF)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and tuple(kept.columns) == corpus_pipeline.COLUMNS
+
+
+@pytest.fixture(scope="module")
+def odd_table(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing extra columns."""
+    long = " ".join(f"word{i % 977} and the other{i % 31}" for i in range(30_000))
+    rows = [(1, "the first text of this table is about the cat", "en", "web"), (1, "the first text of this table is about the cat", "en", "web"), (2, "", "en", None), (3, None, None, "web"), (None, "a text that has no id at all and no source", "en", None)]
+    rows += [(4, long, "la", "books"), (5, "12 34 !!", None, "web"), (1, "another text under the very same id", None, "books"), (6, "der Hund und die Katze sind in dem Haus", "de", "web"), (None, "a text that has no id at all and no source", "en", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, th string, n int, bucket int, block string, place int, component_id string, shard string, key string, tie int, text_hash string, score string"
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", 1, 2, "y", 3, "z", "s", "k", 4, "h", "q") for r in rows], schema).repartition(3)
+
+
+def test_stages_on_odd_rows(spark, odd_table):
+    rows = collections.Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in odd_table.collect())
+    texts = collections.Counter((k[0], k[1]) for k, n in rows.items() for _ in range(n))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_table, SF)
+        got = collections.Counter(tuple(r) for r in out.collect())
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS and set(got) <= set(rows), name
+        if name == "language id":
+            assert got <= rows and not any(k[1] in (None, "", "12 34 !!") for k in got)
+        elif name == "n-gram jaccard join":
+            assert set(got.values()) == {1} and {k[:2] for k in got} == {k[:2] for k in rows}  # each text once
+        elif name == "decontamination":
+            assert got == rows
+        else:
+            assert all(got[k] >= n for k, n in rows.items())
+    found = corpus_pipeline.token_shards(spark, odd_table, SF).collect()
+    e = PieceEncoder(tokenizer_path())
+    want = collections.Counter((i, len(e.encode([t])[0]) // 4 + 1) for (i, t), n in texts.items() for _ in range(n))
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in found) == want
+    at = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_stages_on_an_empty_table(spark, odd_table):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_table.limit(0), SF)
+        assert out.count() == 0 and tuple(out.columns) == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.token_shards(spark, odd_table.limit(0), SF).count() == 0
