@@ -17,8 +17,9 @@ A hot source is no single task's work: prefix sums over a permutation run
 within buckets of about ``BUCKET`` documents, over bucket sums, and over sums of
 groups of buckets.  Defined cases: a null source is a source of its own; null
 texts have 0 tokens and come along in each whole epoch; a source without tokens
-gets one epoch; repeated rows are read as often as they occur; an empty table
-gives an empty mixture.
+gets one epoch; repeated rows are read as often as they occur and lie together;
+rows without an id are placed by a hash of their source, tokens and kept columns;
+an empty table gives an empty mixture.
 """
 
 from __future__ import annotations
@@ -114,16 +115,18 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", tokens: Col
     keep = [id, source] if keep is None else keep
     n_tokens = tokens if tokens is not None else words(F.col("text"))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("mix source"), F.col(f"`{id}`").cast("long").alias("mix id"), n_tokens.alias("n_tokens"))
-    slim = written(rows.select("mix source", "mix id", "n_tokens"), "slim")  # texts are read once for their counts
+    stand_in = F.concat(F.lit("null "), F.xxhash64("mix source", "n_tokens", *[F.col(f"`{c}`") for c in keep]).cast("string"))
+    rows = rows.withColumn("mix key", F.coalesce(F.col("mix id").cast("string"), stand_in))
+    slim = written(rows.select("mix source", "mix id", "mix key", "n_tokens"), "slim")  # texts are read once for their counts
     if set(keep) <= {id, source}:
-        rows = slim.select(*[F.col("mix id" if c == id else "mix source").alias(c) for c in keep], "mix source", "mix id", "n_tokens")
+        rows = slim.select(*[F.col("mix id" if c == id else "mix source").alias(c) for c in keep], "mix source", "mix id", "mix key", "n_tokens")
     sizes = written(slim.select(F.col("mix source").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")), "sizes")
     plan = targets(sizes, entropy, repeats, budget)
     plan = plan.withColumn("epochs", F.when(F.col("n") > 0, F.floor(F.col("target") / F.greatest("n", F.lit(1)))).otherwise(1).cast("int")).withColumn("rest", F.when(F.col("n") > 0, F.col("target") - F.col("epochs") * F.col("n")).otherwise(0))
     plan = written(plan.select(F.col("source").alias("plan source"), "n", "docs", "target", "epochs", "rest", F.ceil(F.col("docs") / BUCKET).cast("long").alias("buckets")), "plan")
 
     def planned(df: DataFrame) -> DataFrame:
-        return df.join(plan, F.col("mix source").eqNullSafe(F.col("plan source"))).withColumn("u", uniform(seed, F.lit("rest"), F.col("mix id")))
+        return df.join(plan, F.col("mix source").eqNullSafe(F.col("plan source"))).withColumn("u", uniform(seed, F.lit("rest"), F.col("mix key")))
 
     joined = planned(slim).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))).withColumn("group", F.floor(F.col("bucket") / BUCKET))
     # where each bucket of the last permutation begins: sums within groups of buckets, then of groups
@@ -147,7 +150,7 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", tokens: Col
     total = plan.agg(F.sum(F.greatest("target", F.lit(0)))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_tokens))
     out = out.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    own = F.when(F.col("epoch") == F.col("epochs"), F.col("u")).otherwise(uniform(seed, F.col("epoch"), F.col("mix id")))
+    own = F.when(F.col("epoch") == F.col("epochs"), F.col("u")).otherwise(uniform(seed, F.col("epoch"), F.col("mix key")))
     share = F.when(F.col("target") > 0, (F.col("epoch") + own) * F.col("n") / F.col("target")).otherwise(own)
     block = F.least(F.floor(share * n_blocks), F.lit(n_blocks - 1)).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", F.col("epoch").cast("int").alias("epoch"), block.alias("block"), uniform(seed + 1, F.col("epoch"), F.col("mix source"), F.col("mix id")).alias("place"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", F.col("epoch").cast("int").alias("epoch"), block.alias("block"), uniform(seed + 1, F.col("epoch"), F.col("mix source"), F.col("mix key")).alias("place"))

@@ -12,7 +12,9 @@ endian; keys therefore sort as null first, then ascending.  Value: width byte
 
 Rows repeated under one id are all kept, in order of their texts' hash.  Null
 text is empty; an empty text has the end id alone.  An empty table gives no
-shard.  Shards are ranges of (id, hash), so one id with many rows is split.
+shard.  Shards are ranges of (id, hash, place of the row), so one id and even one
+row with many copies is split, and a task begins a new shard after SHARD_IDS ids,
+which bounds a shard's size and the keys held for its filter.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ MAGIC = b"GRSST01\n"
 FOOTER = struct.Struct("<QQQQQQI8s")  # bloom offset, length; index offset, length; entries, ids; crc; magic
 BLOCK = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+SHARD_IDS = 1 << 26  # ids of a shard, and those of one row
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -204,31 +207,39 @@ def write_shards(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer, first = TaskContext.get().partitionId(), None, None
+        shard, writer, out, first, path = TaskContext.get().partitionId() << 20, None, None, None, ""
         encoder = None
+
+        def finish() -> pa.RecordBatch:
+            nonlocal shard, writer
+            writer.close()
+            out.close()
+            row = {"shard": pa.array([shard], pa.int64()), "path": [path], "entries": [writer.entries], "ids": [writer.ids], "first": pa.array([first], pa.int64()), "last": pa.array([id_of(writer.last)], pa.int64())}
+            shard, writer = shard + 1, None
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if writer is None:
-                encoder = shared_encoder(tokenizer)
-                fs, name = filesystem(folder)
-                fs.create_dir(name, recursive=True)
-                path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
-                out = fs.open_output_stream(filesystem(path)[1])
-                writer, first = Writer(out), batch.column(0)[0].as_py()
+            encoder = encoder or shared_encoder(tokenizer)
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 2_000_000):
                 for key, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
+                    if writer is None:
+                        fs, name = filesystem(folder)
+                        fs.create_dir(name, recursive=True)
+                        path = f"{folder}/{shard:012d}-{uuid.uuid4().hex}.sst"
+                        out = fs.open_output_stream(filesystem(path)[1])
+                        writer, first = Writer(out), key
                     writer.add(key_of(key), value_of(ids + end), len(ids) // 4 + 1)
+                    if writer.ids >= SHARD_IDS:
+                        yield finish()
         if writer is not None:
-            writer.close()
-            out.close()
-            row = {"shard": [shard], "path": [path], "entries": [writer.entries], "ids": [writer.ids], "first": pa.array([first], pa.int64()), "last": pa.array([id_of(writer.last)], pa.int64())}
-            yield pa.RecordBatch.from_pydict(row | {"shard": pa.array([shard], pa.int32())})
+            yield finish()
 
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
-    ranged = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
-    return written(ranged.mapInArrow(write, "shard int, path string, entries long, ids long, first long, last long"), "manifest")
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    ranged = rows.repartitionByRange("key", "tie", "place").sortWithinPartitions("key", "tie", "place").select("key", "text")
+    return written(ranged.mapInArrow(write, "shard long, path string, entries long, ids long, first long, last long"), "manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Tokenizing whole texts with the tokenizers library, one piece at a time.
-
-A byte-level BPE never merges across the last space of a white-space run, so a
-text may be cut before every space that a non-space follows and its pieces
-encoded alone.  Words repeat, hence a bounded cache of pieces does most of the
-work.  A new piece of Latin characters is cut into pre-tokens here, which are
-cached too, and only new pre-tokens go to the library's model; any other piece,
-and any that holds a special token's string, goes through the whole library.
-``tests/llm`` holds the result against whole-text encoding.
+"""Tokenizing whole texts with the tokenizers library, a pre-token at a time.
+
+A byte-level BPE never merges across pre-tokens.  A Latin text is cut into them
+here, by the pattern that the library itself uses; a bounded cache holds their
+ids, and only new ones go to the library's model.  A text with other characters
+is cut before every space that a non-space follows, which is always a border of
+pre-tokens, and its pieces are cached; Latin pieces are cut further, any other
+piece, and any that holds a special token's string, goes through the whole
+library.  ``tests/llm`` holds the result against whole-text encoding.
 """
 
 import json
@@ -25,7 +25,23 @@ _RUN = re.compile(r" (?!\S)")
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _LATIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTER}]*")
 _PRETOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
-CACHED = 400_000  # pieces, and half as many pre-tokens: about 130 MB
+CACHED = 400_000  # pre-tokens, and as many pieces of texts that aren't Latin: about 80 MB each
+
+
+class PreTokens(dict):
+    """Ids of pre-tokens; a new one is asked of the model."""
+
+    def __init__(self, model, letters: dict[int, str]):
+        super().__init__()
+        self.model, self.letters, self.space = model, letters, letters[32]
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and not part[-1].isspace():  # only a space in front is spelled otherwise
+            shown = self.space + part[1:] if part[0] == " " else part
+        else:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,27 +78,20 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.heads: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.pretokens = PreTokens(self.tokenizer.model, self.letters)
         self.spelled: tuple[list[bytes], np.ndarray] | None = None
 
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(text)))
+
     def _learn(self, cache: dict[str, bytes], new: list[str], before: str) -> None:
         hard = []
-        known, model, letters = self.pretokens, self.tokenizer.model, self.letters
-        if len(known) > CACHED // 2:
-            known.clear()
         for piece in new:
             text = before + piece
             if not _LATIN.fullmatch(piece) or any(s in text for s in self.special):
                 hard.append(piece)
                 continue
-            parts = (text,) if before and piece.isalpha() else _PRETOKEN.findall(text)
-            out = b""
-            for part in parts:
-                if (ids := known.get(part)) is None:
-                    shown = part.encode().decode("latin-1").translate(letters)
-                    ids = known[part] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
-                out += ids
-            cache[piece] = out
+            cache[piece] = self._latin(text)
         for i in range(0, len(hard), 5000):
             some = hard[i : i + 5000]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)):
@@ -105,7 +114,16 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_byte:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        if len(self.pretokens) > CACHED:
+            self.pretokens.clear()
+        out = [self._latin(t) if _LATIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in (t or "" for t in texts)]
+        odd = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(odd, self._by_pieces([texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         heads = {p[0] for p in cut}.difference(self.heads)
         rest = set(chain.from_iterable(p[1:] for p in cut)).difference(self.rest)
         if len(self.heads) + len(heads) > CACHED or len(self.rest) + len(rest) > CACHED:

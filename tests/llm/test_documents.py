@@ -105,6 +105,37 @@ def test_jaccard_links_against_brute_force(spark, k, num, den, monkeypatch):
     assert got == {(a, b) for a in of for b in of if a < b and linked(of[a], of[b])} and len(of) == len({s for s in sets.values() if s})
 
 
+def test_tile_filters_agree(monkeypatch):
+    """Members are kept alike by the filter of many small tiles, that of one tile, and pair by pair; none that links is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for tile in range(60):
+        base = rng.integers(0, 2**63, int(rng.choice([12, 60, 300])), dtype=np.int64).astype(np.uint64)
+        sets = []
+        for _ in range(int(rng.choice([1, 2, 5, 16, 17, 40]))):
+            s = base.copy()
+            change = int(rng.choice([0, 1, len(base) // 12, len(base) // 2]))
+            s[:change] = rng.integers(0, 2**63, change, dtype=np.int64).astype(np.uint64)
+            sets.append(np.unique(s[: len(s) - int(rng.integers(0, 3))]))
+        sets.sort(key=len)
+        for s in sets:
+            node = len(rows)
+            rows.append((tile, len(s), int(rng.integers(0, 40)), node, len(s), 0, 0, ngram_join._bitmap(s).tobytes()))
+            want.setdefault(tile, []).append((node, s))
+    names = ["tile", "n", "comp", "node", "rest", "half", "split", "bitmap"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(len(names))], names=names)
+    found = []
+    for few, pairs in ((16, 1 << 16), (1, 50), (1000, 1 << 16)):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+        out = [m for part in (batch, ) for b in ngram_join._filter_tiles(8, 10, 1)(iter([part[:7], part[7:300], part[300:]])) for m in b.column(0).to_pylist()]
+        found.append({n for m in out for n in m})
+    linked = {x for members in want.values() for x, s in members for y, r in members if x != y and rows[x][2] != rows[y][2] and ngram_join._links(s, r, 8, 10)}
+    assert found[0] >= found[1] and found[2] >= found[1] and all(linked <= f for f in found) and linked and len(found[1]) < len(rows)
+
+
 def test_bucket_counts_cost_what_a_slice_holds():
     import resource
 
@@ -207,6 +238,14 @@ def test_near_matches_against_brute_force(spark, monkeypatch):
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 4, 5, 7])))) for i in range(25)] + [(25, "w1 w1 w2 w1")]
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 20, 60])))) for i in range(60)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    w = decontaminate.Windows([(i, decontaminate.Words([t], decontaminate.ALNUM).hash.astype("<u8").tobytes()) for i, t in items if t], 4)
+    words_of = decontaminate.Words([t for _, t in docs], decontaminate.ALNUM)
+    order = np.argsort(words_of.hash, kind="stable")
+    terms, begin = np.unique(words_of.hash[order], return_index=True)
+    shard = decontaminate.Shard(np.diff(words_of.first), terms.astype("<u8").tobytes(), decontaminate.planes(np.diff(begin, append=len(order))), decontaminate.planes(order))
+    every = [x.tolist() for pair in decontaminate.search(shard, w, 8) for x in pair]
+    monkeypatch.setattr(decontaminate, "PLACES", 30)  # places in many parts
+    assert [x.tolist() for pair in decontaminate.search(shard, w, 8) for x in pair] == every and len(every[0])
     for span in (5, 8):
         got = decontaminate.contamination(d, b, window=4, span=span).collect()
         assert sorted((r.doc_id, list(r.near_items)) for r in got) == brute_near(docs, items, 4, span)

@@ -83,6 +83,18 @@ def test_shards(spark, odd_docs, no_docs):
     assert sstable.token_shards(no_docs).count() == 0
 
 
+def test_shards_are_bounded(spark, odd_docs, monkeypatch):
+    """A task begins a new shard when one is full; copies of one row may lie in several."""
+    whole = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in sstable.token_shards(odd_docs).collect())
+    monkeypatch.setattr(sstable, "SHARD_IDS", 10)
+    manifest = sstable.write_shards(odd_docs, new_folder(spark, "sst"))
+    rows = sstable.read_shards(spark, manifest).orderBy("start").collect()
+    assert manifest.count() >= 5 and all(r.entries <= 10 for r in manifest.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == whole
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+    assert [len(x) for x in sstable.lookup(spark, manifest, [1, 4, None]).values()] == [3, 1, 1]
+
+
 def test_escaping():
     for text in ["", "\\", "### Assistant: x", "\\### Assistant: </turn> ok", "#### User: \\\\</turn>", "</role> </turn>\n### Role: "]:
         e = chat.escape(text)
